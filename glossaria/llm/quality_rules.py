@@ -32,7 +32,7 @@ from glossaria.llm.storage import materialise
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-ALPHA = 0.01
+ALPHA = 0.005
 DELTA = 0.05
 #: A proposed cutoff rejects so many bad rows of the design half at least, and so many times the share of good ones.
 MIN_BAD, MIN_LIFT = 5, 5.0
