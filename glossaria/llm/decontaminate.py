@@ -71,7 +71,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, percent: int
 
     # exact: the candidate documents again, their shingles against those of their items
     pairs = candidates.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("item_id").alias("_items"))
-    chosen = docs.select("doc_id", "text").join(pairs, F.col("doc_id") == F.col("_d"))
+    # candidates grow with the documents, so they are never broadcast, however few they are in a small table
+    chosen = docs.select("doc_id", "text").join(pairs.hint("shuffle_hash"), F.col("doc_id") == F.col("_d"))
     split = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "_items", word_array(F.col("text")).alias("_w")).filter(F.size("_w") >= k)
     each = split.select("doc_id", "_items", "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - k)).alias("_at")).select("doc_id", "_items", _shingle("_w", F.col("_at"), k).alias("h"))
     known = items.select(F.col("h").alias("_h"), "item_id")
