@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ def hashed_ngram(rows: DataFrame, key: str) -> DataFrame:
 
 def external(function: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[Column], Column]:
     """A column function from a batch encoder; texts of a batch are encoded in order of length."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in texts:

@@ -172,12 +172,16 @@ class _Json:
             inner, more, seen = self.flat(self.target(ref) or {}, (*seen, ref))
             return inner | {k: v for k, v in spec.items() if k != "$ref"}, nullable or more, seen
         out = {k: v for k, v in spec.items() if k not in ("allOf", "anyOf", "oneOf")}
+        parts: dict = {}
         for part in spec.get("allOf", []):
             inner, more, seen = self.flat(part, seen)
             nullable = nullable or more
-            props = {**inner.get("properties", {}), **out.get("properties", {})}
-            need = [*inner.get("required", []), *out.get("required", [])]
-            out = {**inner, **out, **({"properties": props} if props else {}), **({"required": need} if need else {})}
+            props = {**parts.get("properties", {}), **inner.get("properties", {})}
+            need = [*parts.get("required", []), *inner.get("required", [])]
+            parts = {**parts, **inner, **({"properties": props} if props else {}), **({"required": need} if need else {})}
+        if parts:
+            both = {k: {**parts.get(k, {}), **out.get(k, {})} for k in ("properties",) if k in parts or k in out}
+            out = {**parts, **out, **both, "required": [*parts.get("required", []), *out.get("required", [])]}
         for key in ("anyOf", "oneOf"):
             options = spec.get(key, [])
             nullable = nullable or any(isinstance(o, dict) and o.get("type") == "null" for o in options)
