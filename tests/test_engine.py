@@ -206,3 +206,48 @@ def test_the_rest_works_without_the_llm_parts(tmp_path):
     assert out.returncode == 0, out.stderr
     n, pipeline, ops = out.stdout.split()
     assert int(n) > 100 and pipeline == "False" and ops == "0"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from glossaria.__main__ import main
+
+    (tmp_path / "g.csv").write_text("ID,Business Name,Definition,Data Type\n1,Customer Name,Name of a customer,varchar(10)\n2,Order Date,Day of an order,date\n")
+    (tmp_path / "h.csv").write_text("ID,Business Name,Definition,Data Type\n1,Customer Name,Other,varchar(10)\n3,New,x,int\n")
+    (tmp_path / "s.sql").write_text("CREATE TABLE orders (cust_nm VARCHAR(9), order_date DATE)")
+    assert main(["info"]) == 0 and "avro" in capsys.readouterr().out
+    assert main(["match", str(tmp_path / "g.csv"), str(tmp_path / "s.sql"), "--format", "ddl", "--out", str(tmp_path / "o"), "--as", "csv", "--top-k", "1"]) == 0
+    assert spark.read.option("header", True).csv(str(tmp_path / "o")).filter("entry_id = '2'").count() >= 1
+    assert main(["sync", str(tmp_path / "g.csv"), str(tmp_path / "h.csv")]) == 0
+
+
+def test_hooks_and_registry(spark):
+    from glossaria.plans.hooks import Hooks, Registry, Stop
+
+    def broken(df):
+        raise RuntimeError
+
+    def stop(df):
+        raise Stop
+
+    h = Hooks()
+    h.register("score", lambda df: df.withColumn("a", F.lit(1)), 10)
+    h.register("score", broken, 20)
+    h.register("score", lambda df: None, 30)
+    h.register("score", stop, 40)
+    h.register("score", lambda df: df.withColumn("b", F.lit(1)), 50)
+    assert h.run("score", spark.range(1)).columns == ["id", "a"]
+    with pytest.raises(ValueError):
+        h.register("nowhere", stop)
+    r = Registry("encoder", encoders.REGISTRY)
+    assert r.get("onnx") is encoders.onnx
+    for f in (lambda: r.get("x"), lambda: r.add("onnx", 1)):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_token_vectors(spark):
+    from glossaria.operators.rerank import pair_scorer, token_maxsim
+
+    row = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0], [0.6, 0.8]], "a", "ab")], "q array<array<double>>, d array<array<double>>, x string, y string")
+    got = row.select(token_maxsim(F.col("q"), F.col("d")).alias("m"), pair_scorer(lambda p: [len(a + b) for a, b in p])(F.col("x"), F.col("y")).alias("s")).first()
+    assert (got["m"], got["s"]) == (pytest.approx(0.9), 3.0)
