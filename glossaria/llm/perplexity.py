@@ -32,6 +32,8 @@ from glossaria.llm.storage import materialise, open_fs, scratch_path
 
 ORDER, BITS = 4, 6
 QUANTILE = 0.998
+#: Cutoffs of so many languages at most are broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: Pseudo characters of mean surprise that steady short texts.
 STEADY = 60.0
 _classes: list[np.ndarray] = []
@@ -189,6 +191,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     steadied = F.exp((F.col("nats") + STEADY * F.lit(mean)) / (F.col("n_chars") + STEADY))
     scored = lambda df: df.withColumn("perplexity", F.when(F.col("n_chars") > 0, F.round(steadied, 6)))
     by = scored(known).groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("_cut")).select(F.col("lang").alias("_lang"), "_cut")
+    by = materialise(by, "perplexity-cutoffs")
+    by = F.broadcast(by) if by.count() <= BROADCAST_LANGUAGES else by
     overall = scored(known).agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     out = scored(rows).join(by, F.col("lang") == F.col("_lang"), "left").withColumn("cutoff", F.coalesce("_cut", F.lit(overall).cast("double")))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "cutoff", ((F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("cutoff"), F.lit(True))).alias("kept"))
