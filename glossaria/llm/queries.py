@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm import decontaminate, langid, near_dedup, packing, perplexity, quality_rules, secret_scan, token_codes, url_filter, warc
+from glossaria.llm.storage import prepare
 
 #: Folder of the vocabulary files; None: that of the installed package.
 TOKENIZER_DIR: str | None = None
@@ -22,7 +23,7 @@ def vocabulary(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Rules of op9: host, start of the path, verdict.

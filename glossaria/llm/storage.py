@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Bound the rows of an Arrow batch: texts can be long, and a worker holds a whole batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A path below the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/glossaria/{tag}-{uuid.uuid4().hex}"

@@ -35,7 +35,9 @@ from glossaria.llm.tokens import encoder
 
 MAGIC = b"GLDAC001"
 BLOCK_BYTES = 64
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 1_000_000
+#: Files that one task reads back, on average.
+FILES_A_TASK = 8
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
@@ -157,7 +159,7 @@ def read_codes(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, from the files of a manifest."""
     placed = manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)))
     files = placed.select("path", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
-    files = files.repartition(max(1, manifest.count()))
+    files = files.repartition(max(1, manifest.count() // FILES_A_TASK))
 
     def run(batches):
         for batch in batches:

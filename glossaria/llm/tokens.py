@@ -19,6 +19,8 @@ import numpy as np
 _PLAIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
 #: Entries of the cache of a worker process; it is emptied beyond.
 CACHE_ENTRIES = 600_000
+#: A pre-token enters the cache when it comes for the second time, by a table of so many marks (a false mark only lets it in early).
+MARKS = 1 << 22
 
 
 def _char_class(kind: str) -> str:
@@ -44,7 +46,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = {k: v for k, v in json.load(f).items() if k != "model"}
         pre = json.dumps(spec.get("pre_tokenizer") or {})
         lowers = "Lowercase" in json.dumps(spec.get("normalizer") or {})
         known = _patterns()
@@ -55,13 +57,14 @@ class Encoder:
         elif not spec.get("normalizer") and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and spec["pre_tokenizer"]["use_regex"]:
             self.pattern = known["byte"]
         self.cache: dict[str, bytes] = {}
+        self.marks = bytearray(MARKS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids by the library alone."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Put pre-tokens in the cache, many to a call of the library.
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pre-tokens, many to a call of the library.
 
         Pre-tokens with a leading blank stay apart when put in a row, the
         others when joined by line breaks (a pre-token of its own, or none
@@ -69,7 +72,7 @@ class Encoder:
         """
         blank = [x for x in new if x[0] == " " and len(x) > 1 and not x[1:].isspace()]
         plain = [x for x in new if not x[0].isspace()]
-        single = [x for x in new if x.isspace()]
+        single, out = [x for x in new if x.isspace()], {}
         for some, glue, step in ((blank, "", 1), (plain, "\n", 1 if self.fold else 2)):
             for at in range(0, len(some), 1024):
                 part = some[at : at + 1024]
@@ -78,11 +81,12 @@ class Encoder:
                 if len(of) and of[-1] == step * (len(part) - 1):
                     at_word = np.arange(0, step * len(part), step)
                     for x, i, j in zip(part, np.searchsorted(of, at_word), np.searchsorted(of, at_word, "right")):
-                        self.cache[x] = ids[i:j].tobytes()
+                        out[x] = ids[i:j].tobytes()
                 else:
                     single += part
         for x, e in zip(single, self.tokenizer.encode_batch(single, add_special_tokens=False)):
-            self.cache[x] = np.array(e.ids, "<u4").tobytes()
+            out[x] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
@@ -90,17 +94,28 @@ class Encoder:
             return self.whole(texts)
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
+            self.marks = bytearray(MARKS)
         out: list[bytes | None] = [None] * len(texts)
         odd = [i for i, x in enumerate(texts) if _PLAIN.search(x)]
         for i, b in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = b
         cache, find = self.cache, self.pattern.findall
         split = {i: find(x.lower() if self.fold else x) for i, x in enumerate(texts) if out[i] is None}
-        new = {w for parts in split.values() for w in parts if w not in cache}
-        if new:
-            self._learn(list(new))
-        for i, parts in split.items():
-            out[i] = b"".join([cache[w] for w in parts])
+        got = {i: list(map(cache.get, parts)) for i, parts in split.items()}
+        holes = [i for i, ids in got.items() if None in ids]
+        new = {w for i in holes for w, b in zip(split[i], got[i]) if b is None}
+        fresh = self._learn(list(new)) if new else {}
+        for i in holes:
+            got[i] = [fresh[w] if b is None else b for w, b in zip(split[i], got[i])]
+        marks = self.marks
+        for w, b in fresh.items():
+            at = hash(w) & (MARKS - 1)
+            if marks[at]:
+                cache[w] = b
+            else:
+                marks[at] = 1
+        for i, ids in got.items():
+            out[i] = b"".join(ids)
         return out
 
 
