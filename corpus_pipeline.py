@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossaria.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
 from glossaria.llm.queries import vocabulary
-from glossaria.llm.storage import materialise
+from glossaria.llm.storage import materialise, prepare
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.quality_filter(docs, prepare(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return near_dedup.deduplicate(docs)
 
 
@@ -31,10 +32,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs, secret_scan.train_forest(spark, secret_scan.default_findings()))
+    return secret_scan.redact(docs, secret_scan.train_forest(prepare(spark), secret_scan.default_findings()))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), END_ID, SEQUENCE_TOKENS)
 
 
