@@ -7,11 +7,15 @@ keys one table, so SIDE * SIDE tables of 2 * DEPTH minhashes cost only
 unless all sketches of a side differ: (1 - s**DEPTH)**SIDE, 0.0003 for a side
 at s = 0.8.
 
-Equal sets are one class, kept by its smallest doc_id. Within a bucket no
-pairs are formed among all members: leaders are compared with the members
-that aren't yet in their component, first one leader for each bucket, then
-more, until a round links nothing new. Every link is confirmed on the full
-sets. Components come from alternating large-star and small-star steps.
+Equal sets are one class, kept by its smallest doc_id. Only classes that share
+a sketch on both sides get table keys. Within a bucket no pairs are formed
+among all members: each is compared with the bucket's leader, the member that
+shares most sketches (so the original of many edited copies leads them). Where
+a bucket ends with several components, its members go on to longer keys (the
+table's pair of sketches and further ones), whose buckets hold ever closer
+sets; each is compared with the first few members there and the first few
+outside the leader's component, if they are in other components. Every link is confirmed on the full sets. Components come from
+alternating large-star and small-star steps.
 
 Defined results: null or blank text has an empty set, is linked with nothing
 and is its own component; rows that repeat a doc_id count as one node; a null
@@ -31,9 +35,8 @@ from glossaria.llm.storage import materialise
 
 DEPTH = 2
 SIDE = 8
-#: Leaders for each bucket and round; the last number holds for further rounds.
-LEADERS = (1, 3, 6, 12)
-MOST_ROUNDS = 12
+#: Later rounds: further sketches in the keys, and the members of such a bucket that the others are compared with.
+ROUNDS = ((0, 2), (1, 4), (2, 5))
 _SEEDS = tk.mix64(np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -82,13 +85,8 @@ def _set_rows(docs: DataFrame, k: int, sketch: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of nodes whose full sets have the similarity."""
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    chosen = docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = materialise(_set_rows(chosen, k, sketch=False), "dedup-sets")
-    # a repeated doc_id with different texts: the largest set stands for it
-    sets = sets.groupBy("doc_id").agg(F.max_by("shingles", F.struct(F.length("shingles"), "shingles")).alias("s")) if sets.count() > nodes.count() else sets.withColumnRenamed("shingles", "s")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of nodes whose full sets (doc_id, shingles) have the similarity."""
 
     def run(batches):
         for batch in batches:
@@ -105,8 +103,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 same.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(same, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("_x"), F.col("s").alias("sx"))
-    right = sets.select(F.col("doc_id").alias("_y"), F.col("s").alias("sy"))
+    left = sets.select(F.col("doc_id").alias("_x"), F.col("shingles").alias("sx"))
+    right = sets.select(F.col("doc_id").alias("_y"), F.col("shingles").alias("sy"))
     joined = pairs.join(left, F.col("x") == F.col("_x")).join(right, F.col("y") == F.col("_y"))
     return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
@@ -118,67 +116,120 @@ def components(edges: DataFrame) -> DataFrame:
     small-star its smaller ones; each keeps components and at most the number
     of edges. It ends when a pass changes nothing.
     """
-    spark = edges.sparkSession
+    mark = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y")), F.sum(F.pmod(F.xxhash64("y", "x"), F.lit(1 << 40)))).first()
     now = materialise(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x < y").distinct(), "star-edges")
+    seen = mark(now)
     while True:
         both = now.select("x", "y").union(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low.withColumnRenamed("x", "_x"), F.col("x") == F.col("_x")).filter("y > x").select(F.col("m").alias("x"), "y").filter("x < y").distinct()
-        low2 = large.groupBy(F.col("y").alias("_y")).agg(F.min("x").alias("m"))
-        small = large.join(low2, F.col("y") == F.col("_y")).select("m", "x", "y")
-        small = small.select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("x").alias("y")), F.struct(F.col("m").alias("x"), F.col("y").alias("y")))).alias("e")).select("e.x", "e.y").filter("x < y").distinct()
-        new = materialise(small, "star-edges")
-        if new.count() == now.count() and not new.exceptAll(now).limit(1).count():
+        low = both.groupBy(F.col("x").alias("_x")).agg(F.least(F.min("y"), F.col("_x")).alias("m"))
+        large = both.join(low, F.col("x") == F.col("_x")).filter("y > x").select(F.col("m").alias("x"), "y").filter("x < y").distinct()
+        down = large.groupBy(F.col("y").alias("_y")).agg(F.min("x").alias("m"))
+        small = large.join(down, F.col("y") == F.col("_y")).select("m", "x", "y")
+        edge = lambda c: F.struct(F.col("m").alias("x"), F.col(c).alias("y"))
+        now = materialise(small.select(F.explode(F.array(edge("x"), edge("y"))).alias("e")).select("e.x", "e.y").filter("x < y").distinct(), "star-edges")
+        if (fresh := mark(now)) == seen:
             break
-        now = new
-    roots = now.select(F.col("x").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return roots.union(now.select(F.col("y").alias("node"), F.col("x").alias("component"))) if spark else roots
+        seen = fresh
+    roots = now.select(F.col("x").alias("node")).distinct()
+    return roots.select("node", F.col("node").alias("component")).union(now.select(F.col("y").alias("node"), F.col("x").alias("component")))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """node, n, prio, a, b of the classes that share a sketch on both sides, with the shared sketches (slot, value).
+
+    ``prio`` orders leaders: most shared sketches first, then by hash.
+    """
+    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", F.col("n_shingles").cast("int").alias("n"), "a", "b")).alias("c"))
+    each = classes.select(F.col("c.doc_id").alias("node"), F.col("c.n").alias("n"), F.posexplode(F.concat("c.a", "c.b")).alias("slot", "value"))
+    common = each.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("slot").alias("_slot"), F.col("value").alias("_value"), "c")
+    hits = each.join(common, (F.col("slot") == F.col("_slot")) & (F.col("value") == F.col("_value")))
+    value = lambda slot: F.max(F.when(F.col("slot") == slot, F.col("value")))
+    found = hits.groupBy("node").agg(F.max("n").alias("n"), F.sum("c").alias("pop"), *[value(i).alias(f"_v{i}") for i in range(2 * SIDE)])
+    prio = F.shiftleft(F.least("pop", F.lit(1 << 30)), 32) * -1 + F.pmod(F.xxhash64("node"), F.lit(1 << 32))
+    rows = found.select("node", "n", prio.alias("prio"), F.array(*[f"_v{i}" for i in range(SIDE)]).alias("a"), F.array(*[f"_v{i}" for i in range(SIDE, 2 * SIDE)]).alias("b"))
+    return rows.filter((F.size(F.array_compact("a")) > 0) & (F.size(F.array_compact("b")) > 0))
+
+
+def _keyed(nodes: DataFrame, more: int, *keep: str) -> DataFrame:
+    """node, n, prio, key: a row for each table; keys take ``more`` sketches beyond the table's pair, by turns from the sides."""
+
+    def key(i, j):
+        parts = [F.get("a", i), F.get("b", j)]
+        for step in range(1, more + 1):
+            side, at = ("a", i) if step % 2 else ("b", j)
+            parts.append(F.get(side, (at + (step + 1) // 2) % SIDE))
+        some = parts[0].isNotNull()
+        for p in parts[1:]:
+            some = some & p.isNotNull()
+        return F.when(some, F.xxhash64(i, j, *parts))
+
+    all_ = F.sequence(F.lit(0), F.lit(SIDE - 1))
+    keys = F.array_compact(F.flatten(F.transform(all_, lambda i: F.transform(all_, lambda j: key(i, j)))))
+    return nodes.select("node", "n", "prio", *keep, F.explode(keys).alias("key"))
+
+
+def _pairs(rows: DataFrame, x: str, nx: str) -> DataFrame:
+    """Distinct (x < y, with set sizes) of ``x`` and ``node``."""
+    pick = lambda one, a, b: F.when(F.col(x) < F.col("node"), F.col(a)).otherwise(F.col(b)).alias(one)
+    return rows.filter(F.col(x) != F.col("node")).select(F.least(x, "node").alias("x"), F.greatest(x, "node").alias("y"), pick("nx", nx, "n"), pick("ny", "n", nx)).distinct()
+
+
+def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of the pairs whose set sizes allow the similarity."""
+    return pairs.filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("x", "y")
+
+
+def _with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of ``node``; a node without links is its own."""
+    return rows.join(labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", node)).drop("_n", "_c")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """node, component of all linked candidates; None without any link."""
+    chosen = docs.select("doc_id", "text").join(nodes.select("node").hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
+    sets = materialise(_set_rows(chosen, k, sketch=False), "dedup-sets")
+    if sets.count() > nodes.count():
+        # a repeated doc_id: the largest set stands for it
+        sets = materialise(sets.groupBy("doc_id").agg(F.max_by("shingles", F.struct(F.length("shingles"), "shingles")).alias("shingles")), "dedup-sets")
+    keyed = _keyed(nodes, 0)
+    buckets = keyed.groupBy("key").agg(F.min(F.struct("prio", "node", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("_k"), F.col("lead.node").alias("lead"), F.col("lead.n").alias("nl"))
+    members = keyed.join(buckets, F.col("key") == F.col("_k"))
+    compared = materialise(_fitting(_pairs(members, "lead", "nl"), percent), "dedup-pairs")
+    found = materialise(_verified(compared, sets, percent), "dedup-links")
+    if not found.limit(1).count():
+        return None
+    labels = materialise(components(found), "dedup-components")
+    for more, most in ROUNDS:
+        # buckets of longer keys that still hold more than one component, with all their members
+        rows = _keyed(_with_component(nodes, labels, "node", "component"), more, "component")
+        split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("_k"))
+        rows = materialise(rows.join(split, F.col("key") == F.col("_k"), "left_semi"), "dedup-longer")
+        order = Window.partitionBy("key").orderBy("prio", "node")
+        first = rows.withColumn("_r", F.row_number().over(order)).withColumn("_apart", F.col("component") != F.first("component").over(order))
+        first = first.withColumn("_s", F.row_number().over(Window.partitionBy("key", "_apart").orderBy("prio", "node"))).filter((F.col("_r") <= most) | (F.col("_s") <= most))
+        # at most 2 * most heads a bucket, met as one row by each member
+        heads = first.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct(F.col("node").alias("h"), F.col("n").alias("nh"), F.col("component").alias("hc"))).alias("_heads"))
+        apart = lambda x: (x["hc"] != F.col("component")) & (100 * F.least(x["nh"], F.col("n")) >= percent * F.greatest(x["nh"], F.col("n")))
+        met = rows.join(heads, F.col("key") == F.col("_k")).select("node", "n", F.explode(F.filter("_heads", apart)).alias("x"))
+        pairs = _fitting(_pairs(met.select("node", "n", "x.h", "x.nh"), "h", "nh"), percent).join(compared, ["x", "y"], "left_anti")
+        pairs = materialise(pairs, "dedup-pairs")
+        links = materialise(_verified(pairs, sets, percent), "dedup-links")
+        compared = compared.union(pairs)
+        if links.limit(1).count():
+            found = found.union(links)
+            labels = materialise(components(found), "dedup-components")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
     rows = materialise(_set_rows(docs, k, sketch=True), "dedup-rows")
-    classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", F.col("n_shingles").cast("int").alias("n"), "a", "b")).alias("c"))
-    keyed = classes.select(F.col("c.doc_id").alias("node"), F.col("c.n").alias("n"), F.posexplode("c.a").alias("i", "p"), F.col("c.b").alias("b"))
-    keyed = keyed.select("node", "n", "i", "p", F.posexplode("b").alias("j", "q")).select(F.xxhash64("i", "j", "p", "q").alias("key"), "node", "n")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("_k"))
-    members = materialise(keyed.join(counts, F.col("key") == F.col("_k"), "left_semi"), "dedup-members")
-
-    found = None
-    state = members.withColumn("component", F.col("node"))
-    compared = None
-    for step in range(MOST_ROUNDS):
-        most = LEADERS[min(step, len(LEADERS) - 1)]
-        # buckets that still hold more than one component
-        split = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("_k"))
-        live = state.join(split, F.col("key") == F.col("_k"), "left_semi")
-        heads = live.groupBy("key", "component").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l"))
-        if most == 1:
-            heads = heads.groupBy("key").agg(F.min(F.struct("l.h", "l.node", "l.n", "component")).alias("t")).select(F.col("key").alias("_k"), F.col("t.node").alias("x"), F.col("t.n").alias("nx"), F.col("t.component").alias("cx"))
-        else:
-            ranked = heads.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("l.h"))).filter(F.col("r") <= most)
-            heads = ranked.select(F.col("key").alias("_k"), F.col("l.node").alias("x"), F.col("l.n").alias("nx"), F.col("component").alias("cx"))
-        pairs = live.join(heads, F.col("key") == F.col("_k")).filter((F.col("component") != F.col("cx")) & (100 * F.least("n", "nx") >= percent * F.greatest("n", "nx")))
-        pairs = pairs.select(F.least("x", "node").alias("x"), F.greatest("x", "node").alias("y")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["x", "y"], "left_anti")
-        pairs = materialise(pairs, "dedup-pairs")
-        if not pairs.limit(1).count():
-            break
-        compared = pairs if compared is None else compared.union(pairs)
-        links = materialise(_verified(pairs, docs.select("doc_id", "text"), k, percent), "dedup-links")
-        if not links.limit(1).count():
-            break
-        found = links if found is None else found.union(links)
-        labels = materialise(components(found), "dedup-components")
-        joined = members.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-        state = joined.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-
-    own = classes.select(F.col("fp").alias("_fp"), F.col("c.doc_id").alias("node"))
-    if found is not None:
-        own = own.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("_fp", F.coalesce("component", "node").alias("_component"))
-    else:
-        own = own.withColumnRenamed("node", "_component")
+    nodes = materialise(_candidates(rows), "dedup-candidates")
+    labels = _links(docs, nodes, k, percent)
+    own = rows.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("fp").alias("_fp")).agg(F.min("doc_id").alias("node"))
+    own = own.withColumnRenamed("node", "_component") if labels is None else _with_component(own, labels, "node", "_component").drop("node")
+    # as a table of its own it joins by an exchange, whose hot classes adaptive execution can split
+    own = materialise(own, "dedup-classes")
     out = rows.select("doc_id", "n_shingles", "fp").join(own, (F.col("fp") == F.col("_fp")) & (F.col("n_shingles") > 0), "left")
     out = out.withColumn("component_id", F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
