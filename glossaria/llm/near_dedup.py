@@ -14,8 +14,12 @@ shares most sketches (so the original of many edited copies leads them). Where
 a bucket ends with several components, its members go on to longer keys (the
 table's pair of sketches and further ones), whose buckets hold ever closer
 sets; each is compared with the first few members there and the first few
-outside the leader's component, if they are in other components. Every link is confirmed on the full sets. Components come from
-alternating large-star and small-star steps.
+outside the leader's component, if they are in other components. These rounds
+only save work: a last one compares, in every table's bucket that still holds
+several components, all members of different components that haven't met, so
+no pair that shares a table is left unverified between two components. Every
+link is confirmed on the full sets. Components come from alternating
+large-star and small-star steps.
 
 Defined results: null or blank text has an empty set, is linked with nothing
 and is its own component; rows that repeat a doc_id count as one node; a null
@@ -37,6 +41,8 @@ DEPTH = 2
 SIDE = 8
 #: Later rounds: further sketches in the keys, and the members of such a bucket that the others are compared with.
 ROUNDS = ((0, 2), (1, 4), (2, 5))
+#: Rows of a bucket's blocks in the last round; a task's product of two blocks is bounded by it.
+BLOCK_ROWS = 1000
 _SEEDS = tk.mix64(np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -184,8 +190,30 @@ def _with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) ->
     return rows.join(labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", node)).drop("_n", "_c")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """node, component of all linked candidates; None without any link."""
+def _apart(nodes: DataFrame, percent: int) -> DataFrame:
+    """All fitting pairs (x, y) of different components that share a table.
+
+    In each bucket the members outside its largest component meet all its
+    members, block by block, so a hot bucket is spread over many tasks.
+    """
+    rows = _keyed(nodes, 0, "component").drop("prio")
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"))
+    blocks = lambda c: F.ceil(c / F.lit(BLOCK_ROWS))
+    split = sizes.filter("parts > 1").select(F.col("key").alias("_k"), F.col("top.component").alias("main"), blocks(F.col("all")).alias("_p"), blocks(F.col("all") - F.col("top.c")).alias("_q"))
+    rows = materialise(rows.join(split, F.col("key") == F.col("_k")).drop("_k"), "dedup-apart")
+    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    members = rows.select("key", "node", "n", "component", "main", block("_p").alias("p"), spread("_q").alias("q"))
+    others = rows.filter("component != main").select(F.col("key").alias("_k"), F.col("node").alias("o"), F.col("n").alias("no"), F.col("component").alias("co"), block("_q").alias("_b"), spread("_p").alias("_a"))
+    # two members outside the largest component meet once
+    apart = (F.col("component") != F.col("co")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("o")))
+    fits = 100 * F.least("n", "no") >= percent * F.greatest("n", "no")
+    met = members.join(others, (F.col("key") == F.col("_k")) & (F.col("p") == F.col("_a")) & (F.col("q") == F.col("_b")) & apart & fits)
+    return met.select(F.least("node", "o").alias("x"), F.greatest("node", "o").alias("y")).distinct()
+
+
+def _links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, component of all linked candidates."""
     chosen = docs.select("doc_id", "text").join(nodes.select("node").hint("shuffle_hash"), F.col("doc_id") == F.col("node"), "left_semi")
     sets = materialise(_set_rows(chosen, k, sketch=False), "dedup-sets")
     if sets.count() > nodes.count():
@@ -196,8 +224,6 @@ def _links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame
     members = keyed.join(buckets, F.col("key") == F.col("_k"))
     compared = materialise(_fitting(_pairs(members, "lead", "nl"), percent), "dedup-pairs")
     found = materialise(_verified(compared, sets, percent), "dedup-links")
-    if not found.limit(1).count():
-        return None
     labels = materialise(components(found), "dedup-components")
     for more, most in ROUNDS:
         # buckets of longer keys that still hold more than one component, with all their members
@@ -218,7 +244,9 @@ def _links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame
         if links.limit(1).count():
             found = found.union(links)
             labels = materialise(components(found), "dedup-components")
-    return labels
+    pairs = materialise(_apart(_with_component(nodes, labels, "node", "component"), percent).join(compared, ["x", "y"], "left_anti"), "dedup-pairs")
+    links = materialise(_verified(pairs, sets, percent), "dedup-links")
+    return materialise(components(found.union(links)), "dedup-components") if links.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -227,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = materialise(_candidates(rows), "dedup-candidates")
     labels = _links(docs, nodes, k, percent)
     own = rows.filter("n_shingles > 0 and doc_id is not null").groupBy(F.col("fp").alias("_fp")).agg(F.min("doc_id").alias("node"))
-    own = own.withColumnRenamed("node", "_component") if labels is None else _with_component(own, labels, "node", "_component").drop("node")
+    own = _with_component(own, labels, "node", "_component").drop("node")
     # as a table of its own it joins by an exchange, whose hot classes adaptive execution can split
     own = materialise(own, "dedup-classes")
     out = rows.select("doc_id", "n_shingles", "fp").join(own, (F.col("fp") == F.col("_fp")) & (F.col("n_shingles") > 0), "left")

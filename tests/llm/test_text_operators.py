@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import components, contained, text_counts
+from brute import components, contained, shingles, text_counts
 from pyspark.sql import functions as F
 
 from glossaria.llm import decontaminate, near_dedup, packing, quality_rules, token_codes
@@ -54,6 +54,32 @@ def test_near_duplicates_of_a_star(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in components(rows, 4, 80).items()}
 
 
+def test_near_pairs_in_buckets_of_many_components(spark):
+    """Members that never lead a bucket are linked as well, though their buckets' other members are too far."""
+    r, rows = random.Random(12), []
+    base = [f"w{i}" for i in range(400)]
+    for i in range(400):
+        at = r.sample(range(400), 13)
+        for j, mine in ((0, at[:8]), (1, at[:3] + at[8:])):
+            w = list(base)
+            for x in mine:
+                w[x] = f"y{i}_{x}"
+            rows.append((2 * i + j, " ".join(w)))
+    sets = [shingles(t, 4) for _, t in rows]
+    ids = {x: n for n, x in enumerate(set().union(*sets))}
+    has = np.zeros((len(sets), len(ids)), np.float32)
+    for n, s in enumerate(sets):
+        has[n, [ids[x] for x in s]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    near = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    want = np.arange(len(sets))
+    while (low := np.where(near, want[None, :], len(sets)).min(axis=1)).tolist() != want.tolist():
+        want = low
+    assert len(set(want.tolist())) > 300
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want.tolist()))
+
+
 def test_deduplicate_keeps_one_row_and_all_columns(spark):
     rows = made(3, 60)
     docs = spark.createDataFrame(rows, DOC).withColumn("kept", F.lit("x"))
