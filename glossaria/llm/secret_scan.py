@@ -1,7 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of key characters with a digit and a letter. Its features
-are length, character transitions and classes, entropy, dictionary coverage,
+Candidates are runs of at least 16 key characters with a digit and a letter,
+values of any length and characters that are assigned to a name with a secret
+word (``PWD=x``, ``"api_key": "x"``, ``?token=x``, ``Bearer x``), and what is
+between ``:`` and ``@host``. They may overlap; ``redact`` masks what any of
+the judged secrets covers. A candidate's features are length, character transitions and classes, entropy, dictionary coverage,
 words in the path it came from and words beside it. The forest is trained
 (``pyspark.ml``) on labelled findings; their number is bounded by
 ``MAX_FINDINGS``, and only the trees, whose size is fixed by number and depth,
@@ -34,15 +37,21 @@ MAX_FINDINGS = 20_000
 TREES, DEPTH = 24, 7
 THRESHOLD = 0.5
 REACH = 40
+#: So many characters before a separator are searched for a name.
+NAME = 60
 MASK = "[SECRET]"
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=@-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
+#: A separator and the value after it, to the closing quote or the end of the word; NAMED fits the text before.
+VALUE = re.compile(r"""(?:[:=]=?>?[ \t]*|(?<=[Bb]earer)[ \t]+|(?<=BEARER)[ \t]+)(?:(["'`])(?=([^"'`\n]+)\1)|(?=([^\s"'`,;&<>()\[\]{}|:=][^\s"'`,;&<>()\[\]{}|]*)))""")
+NAMED = re.compile(r"""(?:secret|token|passw|passphrase|pass|pwd|api|key|auth|bearer|credential|private|access)[\w.-]*["'`]?\]?[ \t]*$""", re.I)
+USERINFO = re.compile(r""":(?=([^\s"'`<>@/]+)@[\w\[])""")
 _BOTH = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
 # Words that go with secrets, with look-alikes, and common parts of names.
 SECRET_WORDS = ("secret", "token", "password", "passwd", "pwd", "api", "key", "apikey", "auth", "bearer", "credential", "private", "access")
 OTHER_WORDS = ("sha", "sha1", "sha256", "md5", "digest", "checksum", "commit", "hash", "uuid", "guid", "etag", "id", "revision", "example", "dummy", "sample", "version", "integrity", "fixture")
 PATH_WORDS = ("test", "example", "sample", "fixture", "doc", "mock", "lock", "vendor")
 DICTIONARY = ("user", "name", "test", "data", "file", "page", "site", "image", "index", "table", "value", "number", "version", "service", "server", "client", "config", "default", "example", "sample", "public", "static", "content", "product", "order", "account", "report", "document", "project", "module", "system", "model", "state", "event", "message", "request", "response", "your", "here", "key", "token", "secret", "this", "that", "with", "from", "tion", "ment")
-FEATURES = ("length", "transitions", "digits", "hex", "upper", "symbols", "entropy", "dictionary", "distinct", "uuid", "quoted", "assigned", "secret_word", "other_word", "path_word")
+FEATURES = ("length", "transitions", "digits", "hex", "upper", "symbols", "entropy", "dictionary", "distinct", "uuid", "quoted", "assigned", "secret_word", "other_word", "path_word", "before_host")
 _WORD = re.compile(r"[a-z0-9]+")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 
@@ -78,9 +87,24 @@ def features(candidate: str, before: str, after: str, path: str | None) -> list[
         float(any(w in beside for w in SECRET_WORDS)),
         float(any(w in beside for w in OTHER_WORDS)),
         float(any(w in where for w in PATH_WORDS)),
+        float(after[:1] == "@"),
     ]
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates, in order."""
+    found = {m.span() for m in CANDIDATE.finditer(text) if _BOTH.match(m.group())}
+    for m in VALUE.finditer(text):
+        if NAMED.search(text[max(0, m.start() - NAME) : m.start()]):
+            start, end = m.span(2) if m.group(1) else m.span(3)
+            # a full stop or colon ends the sentence, not the value
+            end = start + len(text[start:end].rstrip(".:")) if not m.group(1) else end
+            if end > start:
+                found.add((start, end))
+    found |= {m.span(1) for m in USERINFO.finditer(text)}
+    return sorted(found)
+
+
 def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str, str, int]]:
     """(candidate, before, after, path, label) made by rule, half of them secrets."""
     r = random.Random(seed)
@@ -91,11 +115,29 @@ def default_findings(n: int = 4000, seed: int = 7) -> list[tuple[str, str, str,
     for i in range(n):
         path = r.choice(("src1", "src/app.py", "conf/prod.yml", "notes", "test/fixtures/a.json", "docs/example.md", "package-lock.json"))
         if i % 2:
+            if i % 8 == 1:
+                # short, digit-free or with symbols: a password after its name, or before a host
+                s = r.choice((lambda: pick(alnum, r.randint(7, 15)), lambda: pick(alnum[:52], r.randint(10, 32)), lambda: pick(alnum + "!#$%^*?+", r.randint(7, 20)), lambda: pick(hexa, r.choice((32, 40)))))()
+                quote = r.choice(('"', "'", ""))
+                if i % 16 == 1:
+                    out.append((s, f"{words(2)} {r.choice(('https', 'postgres', 'ftp'))}://{r.choice(DICTIONARY)}:", f"@{r.choice(DICTIONARY)}.example.org/{words(1)}", path, 1))
+                else:
+                    out.append((s, f"{words(3)} {r.choice(SECRET_WORDS)}{r.choice((' = ', '=', ': ', ' := '))}{quote}", quote + " " + words(2), path, 1))
+                continue
             s = r.choice((lambda: pick(hexa, 40), lambda: pick(hexa, 32), lambda: "AKIA" + pick(alnum[:26] + alnum[52:], 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk-" + pick(alnum, 48), lambda: "AIza" + pick(alnum + "-_", 35), lambda: pick(alnum + "+/", 40), lambda: "xoxb-" + pick(alnum[52:], 12) + "-" + pick(alnum, 24)))()
             word = r.choice(SECRET_WORDS)
             quote = r.choice(('"', "'", ""))
             before = f"{words(3)} {word}{r.choice((' = ', '=', ': ', ' := '))}{quote}"
             out.append((s, before, quote + " " + words(2), path, 1))
+        elif i % 8 == 0:
+            # plain words and references after a secret word, and addresses
+            word = lambda: r.choice(DICTIONARY) + r.choice(("", "er", "ing", "s"))
+            if i % 32 == 0:
+                out.append((word(), f"{words(3)} mailto:", f"@{r.choice(DICTIONARY)}.example.org {words(1)}", path, 0))
+            else:
+                s = r.choice((word, lambda: word() + r.choice("_-. ") + word(), lambda: r.choice(("true", "false", "null", "none", "None", "required", "$", "*", "os.environ", "the", "a", "is", "1", "12")), lambda: pick("0123456789", r.randint(1, 4)), lambda: "*" * r.randint(3, 12)))()
+                quote = r.choice(('"', "", ""))
+                out.append((s, f"{words(3)} {r.choice(SECRET_WORDS)}{r.choice((' = ', '=', ': ', ' := '))}{quote}", quote + " " + words(2), path, 0))
         else:
             s = r.choice((lambda: str(uuid.UUID(int=r.getrandbits(128))), lambda: pick(hexa, 40), lambda: pick(hexa, 64), lambda: pick(hexa, 32), lambda: "_".join(r.choice(DICTIONARY) for _ in range(4)) + pick("0123456789", 2), lambda: "YOUR_API_KEY_HERE_" + pick("0123456789", 3), lambda: "/".join(r.choice(DICTIONARY) for _ in range(4)) + "/" + pick("0123456789", 4), lambda: r.choice(DICTIONARY) + "-" + pick("0123456789", 4) + "-" + r.choice(DICTIONARY) + "-" + pick("0123456789", 6)))()
             word = r.choice((*OTHER_WORDS, r.choice(DICTIONARY)))
@@ -154,11 +196,10 @@ def _found(texts: list[str | None], paths: list[str | None], trees) -> tuple[lis
     for i, (text, path) in enumerate(zip(texts, paths)):
         if not text:
             continue
-        for m in CANDIDATE.finditer(text):
-            s = m.group()
-            if _BOTH.match(s):
-                hits.append((i, m.start(), len(s), s))
-                x.append(features(s, text[max(0, m.start() - REACH) : m.start()], text[m.end() : m.end() + REACH], path))
+        for start, end in candidates(text):
+            s = text[start:end]
+            hits.append((i, start, len(s), s))
+            x.append(features(s, text[max(0, start - REACH) : start], text[end : end + REACH], path))
     return hits, forest_scores(trees, np.array(x)) if x else np.zeros(0)
 
 
@@ -187,10 +228,16 @@ def redact(docs: DataFrame, trees, path: str = "source") -> DataFrame:
                 texts = batch.column(at_text).to_pylist()
                 hits, score = _found(texts, batch.column(at_path).to_pylist(), trees)
                 out, size = list(batch.columns), None
-                for (i, start, n, _), s in reversed(list(zip(hits, score))):
+                spans: list[list[int]] = []
+                for (i, start, n, _), s in zip(hits, score):
                     if s >= THRESHOLD:
-                        texts[i] = texts[i][:start] + MASK + texts[i][start + n :]
-                        size = True
+                        if spans and spans[-1][0] == i and start < spans[-1][2]:
+                            spans[-1][2] = max(spans[-1][2], start + n)
+                        else:
+                            spans.append([i, start, start + n])
+                for i, start, end in reversed(spans):
+                    texts[i] = texts[i][:start] + MASK + texts[i][end:]
+                    size = True
                 if size:
                     out[at_text] = pa.array(texts, out[at_text].type)
                     if "n_chars" in names:

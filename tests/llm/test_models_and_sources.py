@@ -70,6 +70,25 @@ def test_secrets_are_found_and_look_alikes_left(spark):
         secret_scan.train_forest(spark, findings * 6)
 
 
+def test_assigned_secrets_are_candidates_and_masked(spark):
+    trees = secret_scan.train_forest(spark, secret_scan.default_findings())
+    key, ghp, aws = hashlib.sha1(b"q").hexdigest(), "ghp_x7Kd93kfLs02mZpQ81vBnT54cYwRe6UaHi0J", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXzz81Kq0v"
+    cases = [(f"api_key={ghp}", ghp), (f"export AWS_SECRET_ACCESS_KEY={aws}\n", aws), (f"https://x.org/a?token={key}&b=1", key), ("go postgres://user:h7Kw9zQx2v@db.example.org/x", "h7Kw9zQx2v"), (f"https://user:{key}@host.org/", key), ("password: kT4vX9qLz2.", "kT4vX9qLz2"), ("secret = 'qWvZkPxRtLmNbGhJ'", "qWvZkPxRtLmNbGhJ"), (f'{{"token": "{key}"}}', key), ("PASSWORD=aB3#xY9!kQ7$mP2 end", "aB3#xY9!kQ7$mP2")]
+    docs = spark.createDataFrame([(i, t, "src1", len(t)) for i, (t, _) in enumerate(cases)], "doc_id long, text string, source string, n_chars long")
+    got = {(r["doc_id"], r["start"], r["length"]): r["is_secret"] for r in secret_scan.scan(docs, trees).collect()}
+    assert all(got.get((i, t.index(s), len(s))) for i, (t, s) in enumerate(cases)), got
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, trees).collect()}
+    assert clean == {i: t.replace(s, secret_scan.MASK) for i, (t, s) in enumerate(cases)}
+
+
+def test_words_after_secret_words_are_left(spark):
+    trees = secret_scan.train_forest(spark, secret_scan.default_findings())
+    texts = ["the key: value of it", "access: public", "token=None", "password: required", "mail mailto:service@example.org now"]
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = secret_scan.scan(docs, trees).collect()
+    assert {r["doc_id"] for r in got} == set(range(5)) and not any(r["is_secret"] for r in got)
+
+
 def test_warc_round_trip(spark):
     big = "<p>ü</p>" * 300
     rows = [(1, "http://a/", big), (7, "http://b/", big), (5, None, big), (2, "http://c/\r\nX: y", "small"), (3, "u", "small"), (4, "u", None), (6, "u", "A\r\n\r\nWARC/1.1\r\n" * 80), (None, "n", big)]
