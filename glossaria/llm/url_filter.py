@@ -2,9 +2,9 @@
 
 Path segments are typed (numbers and long hexadecimal names become
 wildcards), and equal typed paths of a host are one row with its counts. Level
-by level, a node's children are generalised to one wildcard where there are
-too many of them, and a child is merged into the wildcard where its labelled
-bad share isn't significantly different from that of its siblings together.
+by level, a child is merged into its node's wildcard where its labelled bad
+share isn't significantly different from that of its siblings together; a
+child that differs keeps its own branch, however many siblings it has.
 A template's bad share is smoothed towards its host's, the host's towards the
 overall one; templates whose smoothed share is high enough are rejected.
 Everything is grouped aggregation, so a hot host is aggregated before it is
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from glossaria.llm.storage import materialise
 
 LEVELS = 4
-MAX_CHILDREN = 32
 #: Two-sided normal quantile beyond which branches differ.
 Z = 2.58
 HOST_PRIOR, TEMPLATE_PRIOR = 20.0, 5.0
@@ -80,9 +79,11 @@ def template_table(pages: DataFrame, labels: DataFrame) -> DataFrame:
         both = child.join(parent.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "children", "pl", "pb"), (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")))
         rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
         pooled = (F.col("pb") + 0.5) / (F.col("pl") + 1)
-        gap = F.abs((F.col("b") + 0.5) / (F.col("l") + 1) - (rest_b + 0.5) / (rest_l + 1))
-        differs = (F.col("l") > 0) & (rest_l > 0) & (gap > Z * F.sqrt(pooled * (1 - pooled) * (1 / (F.col("l") + 1) + 1 / (rest_l + 1))))
-        merged = F.when(F.col(s).isNull(), F.lit("")).when((F.col("children") > 1) & ((F.col("children") > MAX_CHILDREN) | ~differs), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col(s)))
+        # with continuity correction: a few labels alone are no difference
+        inverse = F.try_divide(F.lit(1), "l") + F.try_divide(F.lit(1), rest_l)
+        gap = F.abs(F.try_divide("b", "l") - F.try_divide(rest_b, rest_l)) - 0.5 * inverse
+        differs = F.coalesce(gap > Z * F.sqrt(pooled * (1 - pooled) * inverse), F.lit(False))
+        merged = F.when(F.col(s).isNull(), F.lit("")).when((F.col("children") > 1) & ~differs, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col(s)))
         step = both.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col(s).alias("_s"), merged.alias("_m"))
         table = table.join(step, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & F.col(s).eqNullSafe(F.col("_s")))
         table = materialise(table.withColumn("template", F.concat("template", "_m")).drop("_h", "_t", "_s", "_m"), "url-templates")

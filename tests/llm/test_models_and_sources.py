@@ -196,3 +196,12 @@ def test_url_rules_and_templates(spark):
     assert all(by[100 + i]["verdict"] == ("block" if i % 2 else "allow") for i in range(200))
     assert by[101]["rejected_template"] == "/offer/*" or by[101]["rejected_template"] == "/offer/{n}"
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad boolean"), URL_RULES).count() == 0
+
+
+@pytest.mark.parametrize("sections", [20, 60])
+def test_a_bad_section_keeps_its_branch_among_many(spark, sections):
+    names = ["".join(chr(103 + int(c)) for c in f"{i:03d}") for i in range(sections)]
+    pages = [(i * 100 + j, f"http://big.example.net/{name}/page{j}x") for i, name in enumerate(names) for j in range(60)]
+    labels = [(p, p < 100) for p, _ in pages]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean"), []).collect()
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {p for p, _ in pages if p < 100}
