@@ -205,3 +205,12 @@ def test_a_bad_section_keeps_its_branch_among_many(spark, sections):
     labels = [(p, p < 100) for p, _ in pages]
     got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean"), []).collect()
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == {p for p, _ in pages if p < 100}
+
+
+def test_a_bad_branch_below_the_fourth_segment(spark):
+    pages = [(i, f"http://deep.example.net/a/b/c/d/{'spam' if i % 2 else 'good'}/e/{'x' if i % 3 else 'y'}/page{i}x") for i in range(120)] + [(500 + i, f"http://deep.example.net/a/b/c/d{'/' * (i % 2)}") for i in range(4)]
+    labels = [(i, i % 2 == 1) for i in range(120)]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean"), []).collect()
+    assert len(got) == len(pages)
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(1, 120, 2))
+    assert all(r["rejected_template"].startswith("/a/b/c/d/spam/") for r in got if r["verdict"] == "block")
