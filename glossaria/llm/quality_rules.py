@@ -5,8 +5,8 @@ other rules compare a score with a cutoff per stratum. Labelled rows are split
 in two by a hash of their id: the design half proposes, per stratum and rule,
 the cutoff that rejects most bad rows; the holdout half certifies it with an
 exact (Clopper-Pearson) binomial upper bound on the share of good rows that
-the cutoff rejects. The bound's level is divided by the number of tests
-(Bonferroni), so with probability 1 - ``delta`` no certified cutoff falsely
+the cutoff rejects. The bound's level is divided by the number of proposed cutoffs, which
+don't depend on the holdout half (Bonferroni), so with probability 1 - ``delta`` no certified cutoff falsely
 rejects more than ``alpha`` of a stratum. A cutoff that can't be certified
 isn't used.
 
@@ -154,8 +154,7 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, alpha:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     hist = materialise(hist, "quality-histogram")
-    tests = max(1, hist.select("stratum", "rule").distinct().count())
-    grid, level = GRID, delta / tests
+    grid = GRID
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         rule, at = pdf["rule"].iloc[0], pdf["stratum"].iloc[0]
@@ -175,13 +174,19 @@ def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, alpha:
         rows = []
         if best:
             i = best[1]
-            k, n = int(above[0, 1, i]), int(total[0, 1])
-            bound = binomial_upper(k, n, level)
-            if bound <= alpha:
-                rows.append((at, rule, cutoffs[i], n, k, bound))
-        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "n_false", "bound"])
+            rows.append((at, rule, cutoffs[i], int(total[0, 1]), int(above[0, 1, i])))
+        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "n_false"])
 
-    return materialise(hist.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double, n_good long, n_false long, bound double"), "quality-cutoffs")
+    kind = "stratum string, rule string, cutoff double, n_good long, n_false long"
+    proposed = materialise(hist.groupBy("stratum", "rule").applyInPandas(choose, kind), "quality-proposed")
+    level = delta / max(1, proposed.count())
+
+    def certify(frames):
+        for pdf in frames:
+            pdf["bound"] = np.array([binomial_upper(int(k), int(n), level) for k, n in zip(pdf["n_false"], pdf["n_good"])], float)
+            yield pdf[pdf["bound"] <= alpha]
+
+    return materialise(proposed.mapInPandas(certify, f"{kind}, bound double"), "quality-cutoffs")
 
 
 def _judged(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:

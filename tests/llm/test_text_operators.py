@@ -111,6 +111,19 @@ def test_quality_counts_and_base_rule(spark):
         assert r["kept"] == (not r["base_failed"])  # too few labels to certify a cutoff
 
 
+def test_delta_is_divided_by_the_proposed_cutoffs(spark):
+    """Strata without a proposal don't weaken the others' bounds."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(2400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(str(r.randrange(10**5, 10**6)) + ("###" if bad else "") for _ in range(30)), "en" if i < 2200 else f"l{i % 20}", "s", 0))
+        labels.append((i, int(not bad or i >= 2200), 0))
+    stats = quality_rules.with_stats(spark.createDataFrame(rows, DOC), keep=["doc_id", "lang"])
+    got = quality_rules.certified_cutoffs(stats, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "lang").collect()
+    assert {x["stratum"] for x in got} == {"en"} and all(x["n_good"] < 1000 and x["bound"] <= 0.005 for x in got)
+
+
 def test_certified_cutoffs_reject_only_the_bad(spark):
     r = random.Random(1)
     vocab = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
