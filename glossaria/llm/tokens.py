@@ -1,10 +1,10 @@
 """Token ids by the tokenizers library, with a cache of pre-tokens.
 
 BPE works within pre-tokens, so the ids of a text are those of its pre-tokens
-in a row. Texts whose characters are all below U+0250 (without controls and
-U+0130, whose lower case has two characters) are split here by the
-tokenizer's own pattern and looked up; new pre-tokens go through the library
-together, and all other texts go through it whole.
+in a row. Texts whose characters and their lower case are all below U+0250
+(without controls) are split here by the tokenizer's own pattern and looked
+up; new pre-tokens go through the library together, and all other texts go
+through it whole.
 """
 
 from __future__ import annotations
@@ -16,7 +16,16 @@ import unicodedata
 
 import numpy as np
 
-_PLAIN = re.compile("[^\t\n\r -~\xa1-įı-ɏ]")
+#: Characters end here for which the patterns below are made.
+LAST = 0x250
+
+
+def _plain(c: str) -> bool:
+    low = c.lower()
+    return len(low) == 1 and ord(low) < LAST and (c in "\t\n\r" or unicodedata.category(c) not in ("Cc", "Zs") or c == " ")
+
+
+_ODD = re.compile("[^" + "".join(re.escape(c) for c in map(chr, range(LAST)) if _plain(c)) + "]")
 #: Entries of the cache of a worker process; it is emptied beyond.
 CACHE_ENTRIES = 600_000
 #: A pre-token enters the cache when it comes for the second time, by a table of so many marks (a false mark only lets it in early).
@@ -24,8 +33,8 @@ MARKS = 1 << 22
 
 
 def _char_class(kind: str) -> str:
-    """A regex class body of the characters below U+0250 of a major category."""
-    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+    """A regex class body of the characters below ``LAST`` of a major category."""
+    return "".join(re.escape(chr(c)) for c in range(LAST) if unicodedata.category(chr(c))[0] == kind)
 
 
 def _patterns() -> dict[str, re.Pattern]:
@@ -96,7 +105,7 @@ class Encoder:
             self.cache.clear()
             self.marks = bytearray(MARKS)
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, x in enumerate(texts) if _PLAIN.search(x)]
+        odd = [i for i, x in enumerate(texts) if _ODD.search(x)]
         for i, b in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = b
         cache, find = self.cache, self.pattern.findall
