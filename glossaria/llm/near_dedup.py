@@ -10,15 +10,14 @@ at s = 0.8.
 Equal sets are one class, kept by its smallest doc_id. Only classes that share
 a sketch on both sides get table keys. Within a bucket no pairs are formed
 among all members: each is compared with the bucket's leader, the member that
-shares most sketches (so the original of many edited copies leads them). Where
-a bucket ends with several components, its members go on to longer keys (the
-table's pair of sketches and further ones), whose buckets hold ever closer
-sets; each is compared with the first few members there and the first few
-outside the leader's component, if they are in other components. These rounds
-only save work: a last one compares, in every table's bucket that still holds
-several components, all members of different components that haven't met, so
-no pair that shares a table is left unverified between two components. Every
-link is confirmed on the full sets. Components come from alternating
+shares most sketches (so the original of many edited copies leads them). That
+leaves few buckets with several components. In these, all members of different
+components are compared, so no pair that shares a table is left unverified
+between two components: members outside a bucket's largest component meet all
+its members. Such buckets are cut into blocks of bounded bytes, two blocks
+with their full sets meet in one task, and only links that join components
+leave it, never pairs. A pair is compared under its first common sketch only.
+Every link is confirmed on the full sets. Components come from alternating
 large-star and small-star steps.
 
 Defined results: null or blank text has an empty set, is linked with nothing
@@ -29,21 +28,22 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.llm import textkit as tk
-from glossaria.llm.storage import materialise
+from glossaria.llm.storage import free_name, materialise
 
 DEPTH = 2
 SIDE = 8
-#: Later rounds: further sketches in the keys, and the members of such a bucket that the others are compared with.
-ROUNDS = ((0, 2), (1, 4), (2, 5))
-#: Rows of a bucket's blocks in the last round; a task's product of two blocks is bounded by it.
-BLOCK_ROWS = 1000
+#: Rows and shingles of a block; two blocks of a bucket meet in one task.
+BLOCK_ROWS, BLOCK_SHINGLES = 4000, 1_000_000
 _SEEDS = tk.mix64(np.arange(1, 2 * SIDE * DEPTH + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+_BLOCK = "key long, p int, q int, slot int, probe boolean, main boolean, node long, n int, component long"
 
 
 def sketches(found: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,28 +91,98 @@ def _set_rows(docs: DataFrame, k: int, sketch: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) of nodes whose full sets (doc_id, shingles) have the similarity."""
+def _groups(batches) -> Iterator[pa.Table]:
+    """The rows of each run of equal (key, p, q) in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            now = tuple(keys[a])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values and row offsets of a binary column of 64-bit values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view(kind) if data is not None and data.size else np.zeros(0, kind)
+    return values, (off - off[0]) // 8
+
+
+def _block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between probes and members of a group that join components."""
+    col = lambda name: table.column(name).to_numpy()
+    probe, main, node, n, label = col("probe"), col("main"), col("node"), col("n").astype(np.int64), col("component").copy()
+    slot = int(col("slot")[0])
+    values, off = _flat(table.column("shingles"), np.uint64)
+    members = np.flatnonzero(~probe)
+    if not len(members) or len(members) == len(probe):
+        return []
+    if slot >= 0:
+        sides = []
+        for name in ("a", "b"):
+            sig, at = _flat(table.column(name), np.int64)
+            sides.append(sig.reshape(len(node), SIDE))
+    if probe.sum() > 1:
+        names, codes = np.unique(values, return_inverse=True)
+        mark = np.zeros(len(names), bool)
+    sizes = np.diff(off)
+    links = []
+    for u in np.flatnonzero(probe):
+        fits = (label[members] != label[u]) & (node[members] != node[u]) & (100 * np.minimum(n[members], n[u]) >= percent * np.maximum(n[members], n[u]))
+        if slot >= 0:
+            # two members outside the largest component meet once, a pair under its first common sketch
+            fits &= main[members] | (node[members] < node[u])
+            some = members[fits]
+            a, b = ((side[some] == side[u]) & (side[u] != 0) for side in sides)
+            some = some[~a[:, :slot].any(axis=1) & b.any(axis=1)]
+        else:
+            some = members[fits]
+        if not len(some):
+            continue
+        each = sizes[some]
+        edge = np.cumsum(each) - each
+        at = np.arange(each.sum()) + np.repeat(off[some] - edge, each)
+        own = slice(off[u], off[u + 1])
+        if probe.sum() > 1:
+            mark[codes[own]] = True
+            hit = mark[codes[at]]
+            mark[codes[own]] = False
+        else:
+            mine, theirs = values[own], values[at]
+            hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        both = np.add.reduceat(hit.astype(np.int64), edge)
+        near = some[100 * both >= percent * (n[u] + n[some] - both)]
+        for x in dict(zip(label[near].tolist(), near.tolist())).values():
+            links.append((int(node[u]), int(node[x])))
+        label[np.isin(label, label[near])] = label[u]
+    return links
+
+
+def _verified(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) found in the groups of ``rows`` (``_BLOCK``, a, b), with the full sets (doc_id, shingles) of their nodes."""
 
     def run(batches):
-        for batch in batches:
-            same = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                if not len(p) or 100 * len(p) < percent * len(q):
-                    same.append(False)
-                    continue
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                same.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(same, pa.bool_()))
-
-    left = sets.select(F.col("doc_id").alias("_x"), F.col("shingles").alias("sx"))
-    right = sets.select(F.col("doc_id").alias("_y"), F.col("shingles").alias("sy"))
-    joined = pairs.join(left, F.col("x") == F.col("_x")).join(right, F.col("y") == F.col("_y"))
-    return joined.select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
+        for table in _groups(batches):
+            links = _block_links(table, percent)
+            if links:
+                x, y = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    full = rows.join(sets.select(F.col("doc_id").alias("_id"), "shingles"), F.col("node") == F.col("_id")).drop("_id")
+    return full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -156,33 +226,21 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return rows.filter((F.size(F.array_compact("a")) > 0) & (F.size(F.array_compact("b")) > 0))
 
 
-def _keyed(nodes: DataFrame, more: int, *keep: str) -> DataFrame:
-    """node, n, prio, key: a row for each table; keys take ``more`` sketches beyond the table's pair, by turns from the sides."""
-
-    def key(i, j):
-        parts = [F.get("a", i), F.get("b", j)]
-        for step in range(1, more + 1):
-            side, at = ("a", i) if step % 2 else ("b", j)
-            parts.append(F.get(side, (at + (step + 1) // 2) % SIDE))
-        some = parts[0].isNotNull()
-        for p in parts[1:]:
-            some = some & p.isNotNull()
-        return F.when(some, F.xxhash64(i, j, *parts))
-
+def _keyed(nodes: DataFrame, *keep: str) -> DataFrame:
+    """node, ``keep``, slot, key: a row for each table of a node; slot is the place of its sketch of the first side."""
     all_ = F.sequence(F.lit(0), F.lit(SIDE - 1))
+    key = lambda i, j: F.when(F.get("a", i).isNotNull() & F.get("b", j).isNotNull(), F.struct(i.alias("slot"), F.xxhash64(i, j, F.get("a", i), F.get("b", j)).alias("key")))
     keys = F.array_compact(F.flatten(F.transform(all_, lambda i: F.transform(all_, lambda j: key(i, j)))))
-    return nodes.select("node", "n", "prio", *keep, F.explode(keys).alias("key"))
+    return nodes.select("node", *keep, F.explode(keys).alias("k")).select("node", *keep, "k.slot", "k.key")
 
 
-def _pairs(rows: DataFrame, x: str, nx: str) -> DataFrame:
-    """Distinct (x < y, with set sizes) of ``x`` and ``node``."""
-    pick = lambda one, a, b: F.when(F.col(x) < F.col("node"), F.col(a)).otherwise(F.col(b)).alias(one)
-    return rows.filter(F.col(x) != F.col("node")).select(F.least(x, "node").alias("x"), F.greatest(x, "node").alias("y"), pick("nx", nx, "n"), pick("ny", "n", nx)).distinct()
+def _blocks(rows, shingles):
+    """The number of blocks for so many rows and shingles, one at least."""
+    return F.greatest(F.ceil(rows / F.lit(BLOCK_ROWS)), F.ceil(shingles / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
 
 
-def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of the pairs whose set sizes allow the similarity."""
-    return pairs.filter(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select("x", "y")
+def _block_of(count):
+    return F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
 
 
 def _with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -190,26 +248,45 @@ def _with_component(rows: DataFrame, labels: DataFrame, node: str, name: str) ->
     return rows.join(labels.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", node)).drop("_n", "_c")
 
 
-def _apart(nodes: DataFrame, percent: int) -> DataFrame:
-    """All fitting pairs (x, y) of different components that share a table.
-
-    In each bucket the members outside its largest component meet all its
-    members, block by block, so a hot bucket is spread over many tasks.
+def _led(nodes: DataFrame, percent: int) -> DataFrame:
+    """Groups of a bucket leader, as the probe, and the members that its size fits, in blocks."""
+    keyed = _keyed(nodes, "n", "prio")
+    buckets = keyed.groupBy("key").agg(F.min(F.struct("prio", "node", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("_k"), F.col("lead.node").alias("lead"), F.col("lead.n").alias("nl"))
+    fits = (F.col("node") != F.col("lead")) & (100 * F.least("n", "nl") >= percent * F.greatest("n", "nl"))
+    pairs = keyed.join(buckets, F.col("key") == F.col("_k")).filter(fits).select("lead", "nl", "node", "n").distinct()
+    pairs = materialise(pairs, "dedup-led")
+    leads = pairs.groupBy("lead").agg(F.max("nl").alias("nl"), _blocks(F.count(F.lit(1)), F.sum("n")).alias("_q"))
+    members = pairs.join(leads.select(F.col("lead").alias("_l"), "_q"), F.col("lead") == F.col("_l"))
+    common = lambda probe: (F.lit(0).alias("q"), F.lit(-1).alias("slot"), F.lit(probe).alias("probe"), F.lit(False).alias("main"))
+    side = (F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"))
+    left = members.select(F.col("lead").alias("key"), _block_of("_q").alias("p"), *common(False), "node", "n", F.col("node").alias("component"), *side)
+    right = leads.select(F.col("lead").alias("key"), F.explode(F.sequence(F.lit(0), F.col("_q") - 1)).alias("p"), *common(True), F.col("lead").alias("node"), F.col("nl").alias("n"), F.col("lead").alias("component"), *side)
+    return left.union(right)
+
+
+def _apart(nodes: DataFrame) -> DataFrame:
+    """Groups of two blocks of members of a bucket that holds several components.
+
+    Buckets here are those of a sketch of the first side, with the members
+    that have a table there with several components.
     """
-    rows = _keyed(nodes, 0, "component").drop("prio")
-    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"))
-    blocks = lambda c: F.ceil(c / F.lit(BLOCK_ROWS))
-    split = sizes.filter("parts > 1").select(F.col("key").alias("_k"), F.col("top.component").alias("main"), blocks(F.col("all")).alias("_p"), blocks(F.col("all") - F.col("top.c")).alias("_q"))
-    rows = materialise(rows.join(split, F.col("key") == F.col("_k")).drop("_k"), "dedup-apart")
-    block = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
-    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    members = rows.select("key", "node", "n", "component", "main", block("_p").alias("p"), spread("_q").alias("q"))
-    others = rows.filter("component != main").select(F.col("key").alias("_k"), F.col("node").alias("o"), F.col("n").alias("no"), F.col("component").alias("co"), block("_q").alias("_b"), spread("_p").alias("_a"))
-    # two members outside the largest component meet once
-    apart = (F.col("component") != F.col("co")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("o")))
-    fits = 100 * F.least("n", "no") >= percent * F.greatest("n", "no")
-    met = members.join(others, (F.col("key") == F.col("_k")) & (F.col("p") == F.col("_a")) & (F.col("q") == F.col("_b")) & apart & fits)
-    return met.select(F.least("node", "o").alias("x"), F.greatest("node", "o").alias("y")).distinct()
+    keyed = _keyed(nodes, "component")
+    split = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("_k"))
+    open_ = keyed.join(split, F.col("key") == F.col("_k"), "left_semi").groupBy("node").agg(F.collect_set("slot").alias("slots"))
+    sketch = lambda name: F.concat(*[F.unhex(F.lpad(F.hex(F.coalesce(F.get(name, F.lit(i)), F.lit(0))), 16, "0")) for i in range(SIDE)])
+    rows = nodes.join(open_.select(F.col("node").alias("_n"), "slots"), F.col("node") == F.col("_n"))
+    rows = rows.select("node", "n", "component", sketch("a").alias("_sa"), sketch("b").alias("_sb"), "a", F.explode("slots").alias("slot"))
+    rows = rows.select("node", "n", "component", F.col("_sa").alias("a"), F.col("_sb").alias("b"), "slot", F.xxhash64("slot", F.get("a", F.col("slot"))).alias("key"))
+    rows = materialise(rows, "dedup-open")
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "component")).alias("top")).filter("parts > 1")
+    sizes = sizes.select(F.col("key").alias("_k"), F.col("top.component").alias("_main"), _blocks(F.col("c"), F.col("s")).alias("_p"), _blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("_q"))
+    rows = rows.join(sizes, F.col("key") == F.col("_k")).withColumn("main", F.col("component") == F.col("_main"))
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cols = ("main", "node", "n", "component", "a", "b")
+    members = rows.select("key", _block_of("_p").alias("p"), all_of("_q").alias("q"), "slot", F.lit(False).alias("probe"), *cols)
+    probes = rows.filter("not main").select("key", all_of("_p").alias("p"), _block_of("_q").alias("q"), "slot", F.lit(True).alias("probe"), *cols)
+    return members.union(probes)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -219,34 +296,12 @@ def _links(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame
     if sets.count() > nodes.count():
         # a repeated doc_id: the largest set stands for it
         sets = materialise(sets.groupBy("doc_id").agg(F.max_by("shingles", F.struct(F.length("shingles"), "shingles")).alias("shingles")), "dedup-sets")
-    keyed = _keyed(nodes, 0)
-    buckets = keyed.groupBy("key").agg(F.min(F.struct("prio", "node", "n")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("_k"), F.col("lead.node").alias("lead"), F.col("lead.n").alias("nl"))
-    members = keyed.join(buckets, F.col("key") == F.col("_k"))
-    compared = materialise(_fitting(_pairs(members, "lead", "nl"), percent), "dedup-pairs")
-    found = materialise(_verified(compared, sets, percent), "dedup-links")
+    found = materialise(_verified(_led(nodes, percent), sets, percent), "dedup-links")
     labels = materialise(components(found), "dedup-components")
-    for more, most in ROUNDS:
-        # buckets of longer keys that still hold more than one component, with all their members
-        rows = _keyed(_with_component(nodes, labels, "node", "component"), more, "component")
-        split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.col("key").alias("_k"))
-        rows = materialise(rows.join(split, F.col("key") == F.col("_k"), "left_semi"), "dedup-longer")
-        order = Window.partitionBy("key").orderBy("prio", "node")
-        first = rows.withColumn("_r", F.row_number().over(order)).withColumn("_apart", F.col("component") != F.first("component").over(order))
-        first = first.withColumn("_s", F.row_number().over(Window.partitionBy("key", "_apart").orderBy("prio", "node"))).filter((F.col("_r") <= most) | (F.col("_s") <= most))
-        # at most 2 * most heads a bucket, met as one row by each member
-        heads = first.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct(F.col("node").alias("h"), F.col("n").alias("nh"), F.col("component").alias("hc"))).alias("_heads"))
-        apart = lambda x: (x["hc"] != F.col("component")) & (100 * F.least(x["nh"], F.col("n")) >= percent * F.greatest(x["nh"], F.col("n")))
-        met = rows.join(heads, F.col("key") == F.col("_k")).select("node", "n", F.explode(F.filter("_heads", apart)).alias("x"))
-        pairs = _fitting(_pairs(met.select("node", "n", "x.h", "x.nh"), "h", "nh"), percent).join(compared, ["x", "y"], "left_anti")
-        pairs = materialise(pairs, "dedup-pairs")
-        links = materialise(_verified(pairs, sets, percent), "dedup-links")
-        compared = compared.union(pairs)
-        if links.limit(1).count():
-            found = found.union(links)
-            labels = materialise(components(found), "dedup-components")
-    pairs = materialise(_apart(_with_component(nodes, labels, "node", "component"), percent).join(compared, ["x", "y"], "left_anti"), "dedup-pairs")
-    links = materialise(_verified(pairs, sets, percent), "dedup-links")
-    return materialise(components(found.union(links)), "dedup-components") if links.limit(1).count() else labels
+    more = materialise(_verified(_apart(_with_component(nodes, labels, "node", "component")), sets, percent), "dedup-links")
+    if not more.limit(1).count():
+        return labels
+    return materialise(components(found.union(more)), "dedup-components")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -266,8 +321,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group, all columns kept.
 
-    Rows that repeat a kept doc_id exactly stay as one.
+    Of rows that repeat a kept doc_id one stays, that with the longest text
+    (of equally long ones the first by hash). Rows with a null doc_id all stay.
     """
-    kept = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen
+    kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = materialise(kept, "dedup-kept")
+    key = free_name(docs, "kept_id")
+    ids = kept.select(F.col("doc_id").alias(key), F.col("rows").alias(f"{key}_rows"))
+    same = F.col("doc_id").cast("long") == F.col(key)
+    out = docs.filter("doc_id is null").union(docs.join(ids.filter(f"{key}_rows = 1").select(key), same, "left_semi"))
+    again = ids.filter(f"{key}_rows > 1").select(key)
+    if again.limit(1).count():
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        order = F.struct(F.length("text"), F.xxhash64(F.to_json(whole)))
+        one = docs.join(again, same, "left_semi").groupBy("doc_id").agg(F.max_by(whole, order).alias(key))
+        out = out.union(one.select(f"{key}.*"))
+    return out

@@ -46,6 +46,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that starts with ``stem`` and that no column of ``df`` starts with, whatever the case."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; a bare path is local."""
     if "://" not in uri and not uri.startswith("file:"):
