@@ -2,11 +2,12 @@
 
 ``spark.read.format("warc").load(path)`` gives a row per record. The reader
 plans partitions over files, takes predicates on the record type and on
-header columns from Spark, parses a record's headers first, and passes over
+header columns from Spark, parses a record's headers first, and seeks past
 the block of a record that they rule out (or of every record, with option
-``payload=false``) without decoding it. Files are plain or ``.gz`` with a
-member per record. ``df.write.format("warc")`` writes a file per task; on
-commit the names of the tasks that counted are listed in a manifest, and a
+``payload=false``) without reading or inflating it. Files are plain or ``.gz``.
+Members written here hold one record and its compressed length (``sl`` field),
+so that a reader gets past them; those of other writers are inflated to their
+end. ``df.write.format("warc")`` writes a file per task; on commit the names of the tasks that counted are listed in a manifest, and a
 reader of a folder with manifests reads only listed files, so repeated
 attempts of a task never show twice.
 
@@ -19,10 +20,11 @@ their file's reading with an error; an empty folder gives no rows.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
+import struct
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,6 +41,8 @@ HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_ur
 BATCH_BYTES = 4 << 20
 #: A partition holds files of so many bytes together, one file at least.
 PARTITION_BYTES = 64 << 20
+#: What a reader takes from a file at once; blocks longer than this are seeked past unread.
+BUFFER_BYTES = 64 << 10
 MIN_REVISIT = 1000
 
 
@@ -159,50 +163,125 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in held], kinds.get(c, pa.string())) for c in order], names=order)
 
         for path in partition.paths:
-            with fs.open_input_stream(path, compression=None) as raw:
-                f = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(_Raw(raw), 1 << 20)
-                while (h := read_headers(f)) is not None:
-                    n = int(h.get("content-length", 0))
-                    row = row_of(h)
-                    if not self.wanted(row) or not self.payload:
-                        f.seek(n, io.SEEK_CUR) if path.endswith(".gz") else _skip(f, n)
-                        if not self.wanted(row):
-                            continue
-                        row["payload"] = None
-                    else:
-                        row["payload"] = payload_of(h, f.read(n))
-                        if row["payload_length"] is None:
-                            row["payload_length"] = len(row["payload"])
-                    held.append({c: row.get(c) for c in [*columns, "payload"]})
-                    size += len(row["payload"] or b"") + 300
-                    if size >= BATCH_BYTES:
-                        yield batch()
-                        held, size = [], 0
+            with fs.open_input_file(path) as raw:
+                whole = io.BufferedReader(Raw(raw), BUFFER_BYTES)
+                for f in members(whole) if path.endswith(".gz") else (whole,):
+                    while (h := read_headers(f)) is not None:
+                        n = int(h.get("content-length", 0))
+                        row = row_of(h)
+                        if not (wanted := self.wanted(row)) or not self.payload:
+                            alone = skip(f, n)
+                        else:
+                            alone = False
+                            row["payload"] = payload_of(h, f.read(n))
+                            if row["payload_length"] is None:
+                                row["payload_length"] = len(row["payload"])
+                        if wanted:
+                            held.append({c: row.get(c) for c in [*columns, "payload"]})
+                            size += len(row.get("payload") or b"") + 300
+                        if size >= BATCH_BYTES:
+                            yield batch()
+                            held, size = [], 0
+                        if alone:
+                            break
         if held:
             yield batch()
 
 
-class _Raw(io.RawIOBase):
-    """An Arrow input stream as a raw file."""
+class Raw(io.RawIOBase):
+    """An Arrow input file as a raw file."""
 
-    def __init__(self, stream):
-        self.stream = stream
+    def __init__(self, file):
+        self.file = file
 
     def readable(self):
         return True
 
+    def seekable(self):
+        return True
+
+    def seek(self, offset, whence=io.SEEK_SET):
+        return self.file.seek(offset, whence)
+
+    def tell(self):
+        return self.file.tell()
+
     def readinto(self, b):
-        got = self.stream.read(len(b))
+        got = self.file.read(len(b))
         b[: len(got)] = got
         return len(got)
 
 
-def _skip(f, n: int) -> None:
-    while n > 0:
-        got = len(f.read(min(n, 1 << 20)))
-        if not got:
-            return
-        n -= got
+class Member(io.RawIOBase):
+    """One gzip member of ``f``, which stands at its start, as a raw file.
+
+    ``next`` is the offset after it: known at once from an ``sl`` field, which
+    writers give to members of one record, else at the member's end.
+    """
+
+    def __init__(self, f):
+        self.f, self.inflate, self.held = f, zlib.decompressobj(31), b""
+        at = f.tell()
+        head = f.read(12)
+        extra = f.read(int.from_bytes(head[10:12], "little")) if len(head) == 12 and head[3] & 4 else b""
+        f.seek(at)
+        self.next = None
+        while len(extra) >= 4:
+            n = int.from_bytes(extra[2:4], "little")
+            if extra[:2] == b"sl" and n == 8:
+                self.next = at + int.from_bytes(extra[4:8], "little")
+            extra = extra[4 + n :]
+        self.alone = self.next is not None
+
+    def readable(self):
+        return True
+
+    def readinto(self, b):
+        while not self.inflate.eof:
+            chunk = self.inflate.unconsumed_tail or self.f.read(4096)
+            if not chunk:
+                raise EOFError("a gzip member breaks off")
+            got = self.inflate.decompress(chunk, len(b))
+            if self.inflate.eof and not self.alone:
+                self.next = self.f.tell() - len(self.inflate.unused_data)
+            if got:
+                b[: len(got)] = got
+                return len(got)
+        return 0
+
+
+def members(f):
+    """The gzip members of ``f`` as buffered files, each to be read to its end unless it is known to be one record."""
+    at = 0
+    while f.seek(at) == at and f.peek(1):
+        raw = Member(f)
+        member = io.BufferedReader(raw, 4096)
+        yield member
+        while raw.next is None and member.read(1 << 20):
+            pass
+        at = raw.next
+
+
+def skip(f: io.BufferedReader, n: int) -> bool:
+    """Pass over a block of n bytes; whether ``f`` holds no further record."""
+    if isinstance(f.raw, Member):
+        if f.raw.alone:
+            return True
+        while n > 0 and (got := len(f.read(min(n, 1 << 20)))):
+            n -= got
+    else:
+        f.seek(n, io.SEEK_CUR)
+    return False
+
+
+def gzip_member(record: bytes) -> bytes:
+    """``record`` as a gzip member that says its compressed length, where 32 bits hold it."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    tail = struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    if 32 + len(body) >= 1 << 32 or len(record) >= 1 << 32:
+        return b"\x1f\x8b\x08\x00" + bytes(4) + b"\x00\xff" + body + tail
+    return b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H2sHII", 12, b"sl", 8, 32 + len(body), len(record)) + body + tail
 
 
 @dataclass
@@ -217,7 +296,7 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator):
         fs, base = open_fs(self.path)
         name = f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.compressed
-        pack = (lambda b: gzip.compress(b, 6)) if self.compressed else (lambda b: b)
+        pack = gzip_member if self.compressed else bytes
         fs.create_dir(base, recursive=True)
         with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
             f.write(pack(record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")))
@@ -279,7 +358,9 @@ def page_records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_length", F.length("payload").cast("long"))
     groups = rows.filter(F.col("payload_length") >= MIN_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     groups = groups.filter("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first")
-    rows = rows.join(groups, F.col("payload_digest") == F.col("_digest"), "left")
+    # smaller payloads join nothing, so each has a key of its own
+    key = F.when(F.col("payload_length") >= MIN_REVISIT, F.col("payload_digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id"), F.pmod(F.xxhash64("target_uri"), F.lit(1 << 20))).cast("string")))
+    rows = rows.withColumn("_key", key).join(groups, F.col("_key") == F.col("_digest"), "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return rows.select(
         F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
@@ -299,14 +380,14 @@ def _page(column: str):
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write ``pages`` as WARC files and read page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """Write ``pages`` as compressed WARC files and read page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A response's digest and size are those of the payload read back, a
     revisit's those of its headers.
     """
     register(spark)
     path = scratch_path(spark, "warc")
-    page_records(pages).write.format("warc").mode("append").save(path)
+    page_records(pages).write.format("warc").mode("append").option("compression", "gzip").save(path)
     back = spark.read.format("warc").load(path).filter(F.col("record_type").isin("response", "revisit"))
     full = F.col("record_type") == "response"
     return back.select(
