@@ -2,18 +2,23 @@
 
 A base rule (too few words, too many repeated 8-word windows) is fixed. The
 other rules compare a score with a cutoff per stratum. Labelled rows are split
-in two by a hash of their id: the design half proposes, per stratum and rule,
-the cutoff that rejects most bad rows; the holdout half certifies it with an
-exact (Clopper-Pearson) binomial upper bound on the share of good rows that
-the cutoff rejects. The bound's level is divided by the number of proposed cutoffs, which
-don't depend on the holdout half (Bonferroni), so with probability 1 - ``delta`` no certified cutoff falsely
-rejects more than ``alpha`` of a stratum. A cutoff that can't be certified
-isn't used.
+in two by the smallest hash of their 8-word windows, so copies of a text, and
+near copies with a probability near their similarity, are in one half and one
+unit of it. The design half proposes, per stratum, a cutoff for each rule and
+an order of the rules. The holdout half tests the union of the first rule, of
+the first two and so on, each by an exact (Clopper-Pearson) binomial upper
+bound on the share of good units that any of them rejects, and stops at the
+first union whose bound is above ``alpha`` (a fixed sequence needs no
+correction). The level is ``delta`` divided by the number of strata with
+proposals (Bonferroni), so with probability 1 - ``delta`` no stratum has more
+than ``alpha`` of its good units rejected by all its rules together. Cutoffs
+that can't be certified aren't used.
 
 Defined results: null text has no words (base rule fails); null stratum is
 stratum ``""``; rows without labels count only in the verdict; repeated ids
 are rows of their own; an empty table gives an empty result; further columns
-are ignored by :func:`quality_verdicts` and kept by :func:`quality_filter`.
+are ignored by :func:`quality_verdicts` and kept by :func:`quality_filter`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.llm import textkit as tk
-from glossaria.llm.storage import materialise
+from glossaria.llm.storage import free_name, materialise
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -44,7 +49,8 @@ GRID = {
     "word_length": [6 + i / 2 for i in range(0, 19)],
     "word_shortness": [-5 + i / 4 for i in range(0, 15)],
 }
-STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "unit")
+PREFIX = "q"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -73,6 +79,11 @@ def text_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(row[order][1:][again], minlength=n)
 
     keys, at, rows = tk.windows(tk.range_hashes(data, w.starts, w.ends), w.first, WINDOW)
+    unit = np.zeros(n, np.uint64)
+    some = np.flatnonzero(np.diff(rows))
+    if len(some):
+        unit[some] = np.minimum.reduceat(keys, rows[:-1][some])
+    out["unit"] = unit.view(np.int64)
     keys = keys ^ tk.mix64(tk.row_of(rows).astype(np.uint64) + np.uint64(1))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
@@ -86,20 +97,21 @@ def text_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def with_stats(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df``'s columns ``keep`` (all if None) and the statistics of its texts, prefixed ``_q_``."""
+def with_stats(df: DataFrame, keep: list[str] | None = None, prefix: str = PREFIX) -> DataFrame:
+    """``df``'s columns ``keep`` (all if None) and the statistics of its texts, as ``prefix``_name."""
     keep = df.columns if keep is None else keep
-    names = [f"_q_{x}" for x in STATS]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_q_text"))
-    kept = df.select(*[F.col(f"`{c}`") for c in keep]).schema
+    names = [f"{prefix}_{x}" for x in STATS]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(f"{prefix}_text"))
+    at = len(keep)
 
     def run(batches):
         for whole in batches:
-            for batch in tk.slices(whole, "_q_text"):
-                got = text_stats(*tk.utf8(batch.column(len(keep))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(got[x].astype(np.int64)) for x in STATS)], names=[*batch.schema.names[: len(keep)], *names])
+            for batch in tk.slices(whole, source_text):
+                got = text_stats(*tk.utf8(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(got[x].astype(np.int64)) for x in STATS)], names=[*batch.schema.names[:at], *names])
 
-    schema = kept
+    source_text = f"{prefix}_text"
+    schema = df.select(*[F.col(f"`{c}`") for c in keep]).schema
     for x in names:
         schema = schema.add(x, "long")
     return source.mapInArrow(run, schema)
@@ -109,20 +121,20 @@ def _ratio(a: str, b: str):
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
-def scores() -> dict:
+def scores(prefix: str = PREFIX) -> dict:
     """The score column of each rule; more is worse."""
-    length = _ratio("_q_word_chars", "_q_n_words")
+    length = _ratio(f"{prefix}_word_chars", f"{prefix}_n_words")
     return {
-        "repeat_share": _ratio("_q_n_repeat_words", "_q_n_words"),
-        "symbol_share": _ratio("_q_n_symbols", "_q_word_chars"),
-        "dup_line_share": _ratio("_q_n_dup_lines", "_q_n_lines"),
+        "repeat_share": _ratio(f"{prefix}_n_repeat_words", f"{prefix}_n_words"),
+        "symbol_share": _ratio(f"{prefix}_n_symbols", f"{prefix}_word_chars"),
+        "dup_line_share": _ratio(f"{prefix}_n_dup_lines", f"{prefix}_n_lines"),
         "word_length": length,
         "word_shortness": -length,
     }
 
 
-def base_failed():
-    return (F.col("_q_n_words") < MIN_WORDS) | (100 * F.col("_q_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_q_n_words"))
+def base_failed(prefix: str = PREFIX):
+    return (F.col(f"{prefix}_n_words") < MIN_WORDS) | (100 * F.col(f"{prefix}_n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{prefix}_n_words"))
 
 
 def binomial_upper(k: int, n: int, level: float) -> float:
@@ -139,77 +151,85 @@ def binomial_upper(k: int, n: int, level: float) -> float:
     return high
 
 
-def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Certified cutoffs: stratum, rule, cutoff, n_good, n_false, bound.
-
-    ``stats`` has doc_id, ``stratum`` and the statistics; ``labels`` has
-    doc_id and quality (1 good, 0 bad, null ignored). Only a histogram of
-    strata x rules x grid leaves the rows.
-    """
-    judged = stats.filter(~base_failed()).join(labels.select(F.col("doc_id").alias("_q_id"), "quality").filter("quality is not null"), F.col("doc_id") == F.col("_q_id"))
-    bins = [F.struct(F.lit(rule).alias("rule"), sum((score > c).cast("int") for c in GRID[rule]).alias("bin")) for rule, score in scores().items()]
-    hist = (
-        judged.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)) == 0).alias("design"), (F.col("quality") > 0).alias("good"), F.explode(F.array(*bins)).alias("b"))
-        .groupBy("stratum", "b.rule", "b.bin", "design", "good")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    hist = materialise(hist, "quality-histogram")
-    grid = GRID
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rule, at = pdf["rule"].iloc[0], pdf["stratum"].iloc[0]
-        cutoffs = grid[rule]
-        table = np.zeros((2, 2, len(cutoffs) + 1), np.int64)
-        for d, g, b, n in zip(pdf["design"], pdf["good"], pdf["bin"], pdf["n"]):
-            table[int(d), int(g), b] += n
+def _propose(pdf: pd.DataFrame, alpha: float) -> pd.DataFrame:
+    """The cutoffs of a stratum, in the order of the tests: the least false rejection of the design half first."""
+    found = []
+    for rule, cutoffs in GRID.items():
+        table = np.zeros((2, len(cutoffs) + 1), np.int64)
+        own = pdf[pdf["rule"] == rule]
+        np.add.at(table, (own["good"].astype(int).to_numpy(), own["bin"].astype(int).to_numpy()), own["n"].to_numpy())
         # rejected by cutoff i: rows in bins above i
-        above = table[:, :, ::-1].cumsum(axis=2)[:, :, ::-1][:, :, 1:]
-        total = table.sum(axis=2)
+        above, total = table[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:], table.sum(axis=1)
         best = None
-        for i in range(len(cutoffs)):
-            bad, good = above[1, 0, i], above[1, 1, i]
-            share = good / max(1, total[1, 1])
-            if bad >= MIN_BAD and share <= alpha / 2 and bad / max(1, total[1, 0]) >= MIN_LIFT * share and (best is None or bad > best[0]):
-                best = (bad, i)
-        rows = []
+        for i, cutoff in enumerate(cutoffs):
+            bad, share = int(above[0, i]), above[1, i] / max(1, total[1])
+            if bad >= MIN_BAD and share <= alpha / 2 and bad / max(1, total[0]) >= MIN_LIFT * share and (best is None or bad > best[1]):
+                best = (share, bad, rule, cutoff)
         if best:
-            i = best[1]
-            rows.append((at, rule, cutoffs[i], int(total[0, 1]), int(above[0, 1, i])))
-        return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "n_false"])
+            found.append(best)
+    found.sort(key=lambda x: (x[0], -x[1], x[2]))
+    return pd.DataFrame([(pdf["stratum"].iloc[0], i + 1, rule, cutoff) for i, (_, _, rule, cutoff) in enumerate(found)], columns=["stratum", "rank", "rule", "cutoff"])
+
+
+def _by_stratum(cutoffs: DataFrame, prefix: str) -> DataFrame:
+    """A row for each stratum: the cutoff and rank of each rule."""
+    of = lambda r, c: F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{prefix}_{c}_{r}")
+    return cutoffs.groupBy(F.col("stratum").alias(f"{prefix}_stratum")).agg(*[of(r, c) for r in GRID for c in ("cutoff", "rank")])
 
-    kind = "stratum string, rule string, cutoff double, n_good long, n_false long"
-    proposed = materialise(hist.groupBy("stratum", "rule").applyInPandas(choose, kind), "quality-proposed")
-    level = delta / max(1, proposed.count())
+
+def certified_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA, prefix: str = PREFIX) -> DataFrame:
+    """Certified cutoffs: stratum, rank, rule, cutoff, n_good, n_false, bound.
+
+    ``stats`` has doc_id, ``stratum`` and the statistics; ``labels`` has
+    doc_id and quality (1 good, 0 bad, null ignored). n_good and n_false are
+    units of the holdout half; n_false counts those that the rules up to this
+    rank reject. Only counts by stratum, rule and bin leave the rows.
+    """
+    known = labels.select(F.col("doc_id").alias(f"{prefix}_id"), (F.col("quality") > 0).alias(f"{prefix}_good")).filter(f"{prefix}_good is not null")
+    at = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
+    design = (F.pmod(F.xxhash64(f"{prefix}_unit", F.lit(17)), F.lit(2)) == 0).alias(f"{prefix}_design")
+    judged = stats.filter(~base_failed(prefix)).join(known, F.col("doc_id") == F.col(f"{prefix}_id")).select(at.alias("stratum"), design, F.col(f"{prefix}_good").alias("good"), F.col(f"{prefix}_unit").alias("unit"), *[v.alias(r) for r, v in scores(prefix).items()])
+    judged = materialise(judged, "quality-labelled")
+    bins = [F.struct(F.lit(r).alias("rule"), sum((F.col(r) > c).cast("int") for c in grid).alias("bin")) for r, grid in GRID.items()]
+    hist = judged.filter(f"{prefix}_design").select("stratum", "good", F.explode(F.array(*bins)).alias("b")).groupBy("stratum", "b.rule", "b.bin", "good").agg(F.count(F.lit(1)).alias("n"))
+    proposed = materialise(hist.groupBy("stratum").applyInPandas(lambda pdf: _propose(pdf, alpha), "stratum string, rank int, rule string, cutoff double"), "quality-proposed")
+
+    # the first rule, in the order of the tests, that rejects a good unit of the holdout half
+    rows = judged.filter(f"good and not {prefix}_design").join(_by_stratum(proposed, prefix), F.col("stratum") == F.col(f"{prefix}_stratum"))
+    first = F.least(*[F.when(F.col(r) > F.col(f"{prefix}_cutoff_{r}"), F.col(f"{prefix}_rank_{r}")).otherwise(len(GRID) + 1) for r in GRID])
+    units = rows.groupBy("stratum", "unit").agg(F.min(first).alias("first"))
+    tested = units.groupBy(F.col("stratum").alias("_s")).agg(F.count(F.lit(1)).alias("n_good"), F.array(*[F.count_if(F.col("first") <= i) for i in range(1, len(GRID) + 1)]).alias("n_by_rank"))
+    tests = proposed.join(tested, F.col("stratum") == F.col("_s"), "left").select("stratum", "rank", "rule", "cutoff", F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce(F.get("n_by_rank", F.col("rank") - 1), F.lit(0)).alias("n_false"))
+    level = delta / max(1, proposed.select("stratum").distinct().count())
 
     def certify(frames):
         for pdf in frames:
             pdf["bound"] = np.array([binomial_upper(int(k), int(n), level) for k, n in zip(pdf["n_false"], pdf["n_good"])], float)
             yield pdf[pdf["bound"] <= alpha]
 
-    return materialise(proposed.mapInPandas(certify, f"{kind}, bound double"), "quality-cutoffs")
+    # the unions are nested, so their bounds rise with the rank and those below alpha are the first ones
+    return materialise(tests.mapInPandas(certify, "stratum string, rank int, rule string, cutoff double, n_good long, n_false long, bound double"), "quality-cutoffs")
 
 
-def _judged(stats: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    by = cutoffs.groupBy(F.col("stratum").alias("_q_stratum")).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_q_cut_{r}") for r in GRID])
-    over = [F.when(F.coalesce(score > F.col(f"_q_cut_{r}"), F.lit(False)), F.lit(r)) for r, score in scores().items()]
-    return (
-        stats.join(by, F.coalesce(F.col(f"`{stratum}`"), F.lit("")) == F.col("_q_stratum"), "left")
-        .withColumn("base_failed", base_failed())
-        .withColumn("failed_rules", F.array_compact(F.array(*over)))
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    )
+def _judged(stats: DataFrame, cutoffs: DataFrame, stratum: str, prefix: str) -> DataFrame:
+    """``stats`` with ``prefix``_failed, an array of the rules that reject the row."""
+    over = [F.when(F.coalesce(score > F.col(f"{prefix}_cutoff_{r}"), F.lit(False)), F.lit(r)) for r, score in scores(prefix).items()]
+    at = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
+    return stats.join(_by_stratum(cutoffs, prefix), at == F.col(f"{prefix}_stratum"), "left").withColumn(f"{prefix}_failed", F.array_compact(F.array(*over)))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept, failed_rules."""
-    stats = materialise(with_stats(docs, keep=["doc_id", stratum]), "quality-stats")
-    judged = _judged(stats, certified_cutoffs(stats, labels, stratum, alpha, delta), stratum)
-    counts = [F.col(f"_q_{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return judged.select("doc_id", *counts, "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
+    stats = materialise(with_stats(docs, ["doc_id", stratum]), "quality-stats")
+    judged = _judged(stats, certified_cutoffs(stats, labels, stratum, alpha, delta), stratum, PREFIX)
+    counts = [F.col(f"{PREFIX}_{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    failed = F.col(f"{PREFIX}_failed")
+    return judged.select("doc_id", *counts, base_failed().alias("base_failed"), (~base_failed() & (F.size(failed) == 0)).alias("kept"), F.concat_ws(",", failed).alias("failed_rules"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    stats = with_stats(docs, keep=["doc_id", stratum])
-    cutoffs = certified_cutoffs(stats, labels, stratum, alpha, delta)
-    return _judged(with_stats(docs), cutoffs, stratum).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = free_name(docs, PREFIX)
+    cutoffs = certified_cutoffs(with_stats(docs, ["doc_id", stratum], prefix), labels, stratum, alpha, delta, prefix)
+    judged = _judged(with_stats(docs, prefix=prefix), cutoffs, stratum, prefix)
+    return judged.filter(~base_failed(prefix) & (F.size(f"{prefix}_failed") == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
