@@ -7,7 +7,8 @@ given the language; and a prior of the address, smoothed hierarchically from
 all rows to the address suffix, the registered domain and the host. The
 frequencies, the declaration table and the priors are grouped aggregations
 over all rows; priors and declarations count each row's most likely language
-by text. What goes to every task is one vector of ``BUCKETS`` numbers for each
+by text, and a row's own vote is taken out of the counts that judge it, so its
+text is heard once. What goes to every task is one vector of ``BUCKETS`` numbers for each
 language, and more than ``MAX_LANGUAGES`` languages are refused.
 
 Defined results: null or empty text carries no evidence, so address and
@@ -21,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +39,47 @@ MAX_LANGUAGES = 200
 #: Trigrams that count in full; more of them are scaled down to so many.
 EVIDENCE = 40.0
 GLOBAL_PRIOR, SUFFIX_PRIOR, DOMAIN_PRIOR, HOST_PRIOR = 1.0, 50.0, 20.0, 10.0
-DECLARED_PRIOR = 5.0
+#: Pseudo declarations of a language's own name, and of every other one.
+DECLARED_PRIOR, OTHER_PRIOR = 5.0, 0.1
 MIN_CONFIDENCE = 0.5
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
-_HIDDEN = re.compile(r"<(script|style|nav|header|footer)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
+_HIDDEN = re.compile(r"<(script|style|nav|header|footer)\b", re.I)
+_CLOSING = re.compile(r"</(script|style|nav|header|footer)\s*>", re.I)
+DECLARED = r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 
 
 def visible(html: str | None) -> str:
-    """Text of a page without markup, scripts, styles and navigation."""
-    return _HIDDEN.sub(" ", html or "")
+    """Text of a page without markup, scripts, styles and navigation, by one pass.
+
+    A hidden element ends at its first closing tag; one without is a plain tag.
+    """
+    html = html or ""
+    starts: dict[str, list[int]] = {}
+    ends: dict[str, list[int]] = {}
+    for m in _CLOSING.finditer(html):
+        starts.setdefault(m[1].lower(), []).append(m.start())
+        ends.setdefault(m[1].lower(), []).append(m.end())
+    out, at, comments = [], 0, True
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        end = 0
+        if m := _HIDDEN.match(html, i):
+            name = m[1].lower()
+            k = bisect_left(starts.get(name, []), m.end())
+            end = ends[name][k] if k < len(ends.get(name, [])) else 0
+        elif comments and html.startswith("<!--", i):
+            end = html.find("-->", i + 4) + 3
+            comments = end > 2
+            end = end if comments else 0
+        end = end or html.find(">", i) + 1
+        if not end:
+            at = i
+            break
+        out.append(" ")
+        at = end
+    out.append(html[at:])
+    return "".join(out)
 
 
 def trigram_buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +150,9 @@ def evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], is_html: bool
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _shares(votes: DataFrame, level: str, upper: DataFrame, parent: str, weight: float, names: list[str]) -> DataFrame:
-    """level, parent columns and ``prior``: counts of a level smoothed by its parent's prior."""
-    n = votes.groupBy(level, parent).agg(F.array(*[F.count_if(F.col("vote") == x) for x in names]).alias("n"), F.count(F.lit(1)).alias("all"))
-    up = upper.select(F.col(parent).alias("_up"), F.col("prior").alias("_prior"))
-    return n.join(up, F.col(parent) == F.col("_up")).select(level, F.transform(F.arrays_zip("n", "_prior"), lambda z: (z["n"] + weight * z["_prior"]) / (F.col("all") + weight)).alias("prior"))
+def _summed(table: DataFrame, level: str, name: str, size: int) -> DataFrame:
+    """``level`` and its votes ``name``: for each language, then all of them."""
+    return table.groupBy(F.col(level).alias(f"_{name}")).agg(F.array(*[F.sum(F.get("votes", F.lit(i))) for i in range(size)]).alias(name))
 
 
 def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -136,29 +166,40 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     rows = rows.withColumn("text_lang", by_text)
     if not names:
         return rows.withColumn("lang", F.lit("und")).withColumn("confidence", F.lit(0.0))
+    k = len(names)
+    votes = F.array(*[F.count_if(F.col("text_lang") == x) for x in names], F.count("text_lang")).alias("votes")
     parts = F.split("host", r"\.")
-    levels = rows.withColumn("_root", F.lit("")).withColumn("_suffix", F.element_at(parts, -1)).withColumn("_domain", F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2))))
-    votes = levels.select("host", "_domain", "_suffix", "_root", F.col("text_lang").alias("vote"))
-    flat = F.array(*[F.lit(1.0 / len(names))] * len(names))
-    root = votes.groupBy("_root").agg(F.array(*[F.count_if(F.col("vote") == x) for x in names]).alias("n"), F.count("vote").alias("all"))
-    root = root.select("_root", F.transform("n", lambda x: (x + GLOBAL_PRIOR / len(names)) / (F.col("all") + GLOBAL_PRIOR)).alias("prior"))
-    suffix = _shares(votes.filter("vote is not null"), "_suffix", root, "_root", SUFFIX_PRIOR, names)
-    domain = _shares(votes.filter("vote is not null"), "_domain", suffix, "_suffix", DOMAIN_PRIOR, names)
-    hosts = materialise(_shares(votes.filter("vote is not null"), "host", domain, "_domain", HOST_PRIOR, names), "langid-hosts")
-
-    # P(declared | language): per language its declarations, smoothed towards naming the language itself
-    said = levels.filter("text_lang is not null and declared is not null").groupBy("declared").agg(F.array(*[F.count_if(F.col("text_lang") == x) for x in names]).alias("d"))
-    sums = levels.filter("text_lang is not null and declared is not null").agg(F.array(*[F.count_if(F.col("text_lang") == x) for x in names])).first()[0]
-    saying = F.transform(F.arrays_zip("d", F.array(*map(F.lit, sums)).alias("t"), F.array(*map(F.lit, names)).alias("x")), lambda z: (z["d"] + F.when(z["x"] == F.col("declared"), DECLARED_PRIOR).otherwise(0.1)) / (z["t"] + 2 * DECLARED_PRIOR))
-    said = materialise(said.select(F.col("declared").alias("_said"), saying.alias("saying")), "langid-declared")
-
-    got = levels.join(hosts.select(F.col("host").alias("_host"), "prior"), F.col("host") == F.col("_host"), "left").join(said, F.col("declared") == F.col("_said"), "left")
-    got = got.withColumn("_post", F.transform(F.arrays_zip("ll", F.coalesce("prior", flat).alias("p"), F.coalesce("saying", flat).alias("s")), lambda z: z["ll"] + F.log(z["p"]) + F.log(z["s"])))
-    got = got.withColumn("_top", F.array_max("_post"))
+    at = rows.groupBy("host").agg(votes).withColumn("suffix", F.element_at(parts, -1)).withColumn("domain", F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2))))
+    hosts = materialise(at, "langid-hosts")
+    domains, suffixes = _summed(hosts, "domain", "by_domain", k + 1), _summed(hosts, "suffix", "by_suffix", k + 1)
+    overall = hosts.agg(*[F.sum(F.get("votes", F.lit(i))) for i in range(k + 1)]).first()
+    tables = hosts.join(domains, F.col("domain") == F.col("_by_domain")).join(suffixes, F.col("suffix") == F.col("_by_suffix")).select(F.col("host").alias("_host"), "votes", "by_domain", "by_suffix")
+    tables = materialise(tables, "langid-priors")
+
+    # P(declared | language): its declarations, with pseudo ones that favour its own name
+    heard = rows.filter("declared is not null").groupBy(F.col("declared").alias("_said")).agg(votes.alias("said_by"))
+    said = materialise(heard, "langid-declared")
+    kinds = said.count()
+    totals = said.agg(*[F.coalesce(F.sum(F.get("said_by", F.lit(i))), F.lit(0)) for i in range(k)]).first()
+    known = {r["_said"] for r in said.filter(F.col("_said").isin(names)).select("_said").collect()}
+
+    got = rows.join(tables, F.col("host") == F.col("_host"), "left").join(said, F.col("declared") == F.col("_said"), "left")
+    voted = F.col("text_lang").isNotNull().cast("int")
+    posts = []
+    for i, x in enumerate(names):
+        own = F.coalesce((F.col("text_lang") == x).cast("int"), F.lit(0))
+        prior = (F.lit(overall[i] or 0) - own + GLOBAL_PRIOR / k) / (F.lit(overall[k] or 0) - voted + GLOBAL_PRIOR)
+        for name, weight in (("by_suffix", SUFFIX_PRIOR), ("by_domain", DOMAIN_PRIOR), ("votes", HOST_PRIOR)):
+            prior = (F.get(name, F.lit(i)) - own + weight * prior) / (F.get(name, F.lit(k)) - voted + weight)
+        others = kinds - (x in known)
+        pseudo = F.when(F.col("declared") == x, DECLARED_PRIOR).otherwise(OTHER_PRIOR)
+        saying = (F.get("said_by", F.lit(i)) - own + pseudo) / (F.lit(totals[i]) - own + DECLARED_PRIOR + OTHER_PRIOR * others)
+        posts.append(F.get("ll", F.lit(i)) + F.log(prior) + F.coalesce(F.log(saying), F.lit(0.0)))
+    got = got.withColumn("_post", F.array(*posts)).withColumn("_top", F.array_max("_post"))
     confidence = 1 / F.aggregate("_post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))
     lang = F.get(F.array(*map(F.lit, names)), (F.array_position("_post", F.col("_top")) - 1).cast("int"))
     got = got.withColumn("confidence", F.round(confidence, 6))
-    sure = F.col("confidence") > 1.0 / len(names) + 1e-6 if len(names) > 1 else F.lit(True)
+    sure = F.col("confidence") > 1.0 / k + 1e-6 if k > 1 else F.lit(True)
     return got.withColumn("lang", F.when(sure, lang).otherwise("und"))
 
 
