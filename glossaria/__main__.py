@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from glossaria import __version__
 from glossaria.functions.constants import DOMAINS
 from glossaria.functions.identifiers import content_hash
-from glossaria.functions.types import coerce_glossary
-from glossaria.operators import ingest, sync
+from glossaria.operators import sync
+from glossaria.plans import index
 from glossaria.plans.config import MatchConfig
 from glossaria.plans.match import match
 from glossaria.sources import schemas, sinks, tabular
@@ -21,9 +21,7 @@ from glossaria.sources import schemas, sinks, tabular
 
 def glossary(spark: SparkSession, path: str):
     """Entries of a glossary file, with ids and types."""
-    rows = ingest.map_frame(tabular.read_source(spark, path)).filter("business_name <> '' or definition <> ''")
-    rows = rows.withColumn("ordinal", F.monotonically_increasing_id()).withColumn("data_type", coerce_glossary(F.col("data_type")))
-    return ingest.entry_ids(rows).drop("id").withColumnRenamed("entry_id", "id")
+    return index.load(tabular.read_source(spark, path))[0]
 
 
 def fields(spark: SparkSession, path: str, kind: str | None):

@@ -1,8 +1,8 @@
 """Text encoders: a registry of ways to get vectors for texts.
 
 ``hashed_ngram`` needs no model: words and their character trigrams are hashed
-into buckets and counted, as rows (id, bucket, weight) of unit length, so a
-dense search over it is an equi-join on the bucket. ``precomputed`` takes a
+into buckets and counted, as rows (id, bucket, weight) of unit length;
+``hashed_vectors`` has them as arrays for vector search. ``precomputed`` takes a
 vector column as it is; ``external`` wraps a function over batches of texts;
 ``onnx`` runs a model directory of the user's, if onnxruntime is there.
 """
@@ -37,6 +37,13 @@ def hashed_ngram(rows: DataFrame, key: str) -> DataFrame:
     return counts.select(key, "bucket", (F.col("n") / size).alias("weight"))
 
 
+def hashed_vectors(rows: DataFrame, key: str) -> DataFrame:
+    """key, vector: ``hashed_ngram`` as arrays of ``BUCKETS`` numbers."""
+    held = hashed_ngram(rows, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("w"))
+    at = F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long"))
+    return held.select(key, F.transform(at, lambda i: F.coalesce(F.try_element_at("w", i), F.lit(0.0))).alias("vector"))
+
+
 def external(function: Callable[[list[str]], list[list[float]]], batch: int = 32) -> Callable[[Column], Column]:
     """A column function from a batch encoder; texts of a batch are encoded in order of length."""
     @F.pandas_udf("array<float>")
@@ -88,4 +95,4 @@ def encode_distinct(rows: DataFrame, encoder: Callable[[Column], Column], text:
     return keyed.join(distinct, "_hash").drop("_hash")
 
 
-REGISTRY = {"hashed_ngram": hashed_ngram, "external": external, "onnx": onnx}
+REGISTRY = {"hashed_ngram": hashed_vectors, "external": external, "onnx": onnx}

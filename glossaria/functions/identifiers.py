@@ -13,7 +13,7 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def _words(text: Column, separators: str) -> Column:
-    return F.filter(F.split(text, separators), lambda w: w != "")
+    return F.array_remove(F.split(text, separators), "")
 
 
 def identifier_tokens(name: Column) -> Column:
@@ -25,7 +25,7 @@ def identifier_tokens(name: Column) -> Column:
 
 def bm25_tokens(text: Column) -> Column:
     """Lower-case runs of ASCII letters and digits, in order, repeats kept."""
-    return _words(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+")
+    return _words(F.lower(text), "[^a-z0-9]+")
 
 
 def humanize(name: Column) -> Column:

@@ -1,9 +1,11 @@
 """BM25 over an inverted index held as tables.
 
-``build_index`` makes postings (term, doc_id, weight) once; they can be saved
-and read again, and searching is an equi-join on the term with partial sums.
-Terms shared by very many documents make skewed joins, which adaptive
-execution splits.
+``build_index`` tokenises every document once, into a table of counts, and
+makes postings (term, doc_id, weight) of it; they can be saved and read again.
+Searching is an equi-join on the term with partial sums. Rare terms come
+first: the best k of their sums bound what a result must reach, and the terms
+that very many documents share are joined only with the documents that can
+still reach it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.identifiers import bm25_tokens
+from glossaria.scratch import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -71,10 +74,11 @@ def weight(idf: Column, tf: Column, dl: Column, avgdl: float) -> Column:
 
 
 def build_index(docs: DataFrame) -> Index:
-    n, avgdl = corpus_size(docs)
-    tf = term_frequencies(docs)
-    stats = inverse_frequencies(document_frequencies(tf), n)
-    postings = tf.join(stats, "term").select("term", "doc_id", weight(F.col("idf"), F.col("tf"), F.col("dl"), max(avgdl, 1e-9)).alias("weight"))
+    tf = materialise(term_frequencies(docs), "bm25-counts")
+    n = docs.count()
+    words = tf.agg(F.sum("tf")).first()[0] or 0
+    stats = materialise(inverse_frequencies(document_frequencies(tf), n), "bm25-terms")
+    postings = tf.join(stats, "term").select("term", "doc_id", weight(F.col("idf"), F.col("tf"), F.col("dl"), max(words / max(n, 1), 1e-9)).alias("weight"))
     return Index(postings, stats)
 
 
@@ -87,13 +91,48 @@ def remove_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id"), "doc_id", "left_anti")
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, qtf: query terms count as often as they occur."""
+    return queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _summed(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    return terms.join(postings, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+
+
 def scores(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, doc_id, score: every pair with a common term; query terms count as often as they occur."""
-    terms = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    return terms.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    """query_id, doc_id, score: every pair with a common term."""
+    return _summed(query_terms(queries), index.postings)
 
 
-def search(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score (6 digits), rank; only positive scores."""
-    ranked = scores(queries, index).withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    return ranked.filter((F.col("rank") <= k) & (F.col("score") > 0))
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("score") > 0))
+
+
+def search(queries: DataFrame, index: Index, k: int = 10, common: int = 1000) -> DataFrame:
+    """query_id, doc_id, score (6 digits), rank; only positive scores.
+
+    Terms of more than ``common`` documents are joined only with documents
+    that can still be among the best ``k``; the result doesn't depend on it.
+    """
+    terms = materialise(query_terms(queries).join(index.stats.select("term", "df", "idf"), "term"), "bm25-query")
+    # a weight is at most idf * (K1 + 1); terms of negative weight bound nothing, so all terms are then taken at once
+    often = terms.filter(F.col("df") > common)
+    if not often.limit(1).count() or terms.filter("idf <= 0").limit(1).count():
+        return _best(_summed(terms.select("query_id", "term", "qtf"), index.postings), k)
+    rare = materialise(_summed(terms.filter(F.col("df") <= common).select("query_id", "term", "qtf"), index.postings), "bm25-rare")
+    reach = often.groupBy("query_id").agg(F.sum(F.col("qtf") * F.col("idf") * (K1 + 1)).alias("reach"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    # the k-th best sum of rare terms; queries with fewer such documents need all their postings
+    least = rare.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("query_id", F.col("score").alias("least"))
+    bounds = materialise(terms.select("query_id").distinct().join(reach, "query_id", "left").join(least, "query_id", "left").select("query_id", F.coalesce("reach", F.lit(0.0)).alias("reach"), "least"), "bm25-bounds")
+    sure = F.col("least").isNotNull() & (F.col("reach") < F.col("least") - 1e-5)
+    open_ = bounds.filter(~sure).select("query_id")
+    whole = _summed(terms.join(open_, "query_id").select("query_id", "term", "qtf"), index.postings)
+    kept = rare.join(bounds.filter(sure), "query_id").filter(F.col("score") + F.col("reach") >= F.col("least") - 1e-5)
+    kept = materialise(kept.select("query_id", "doc_id", "score"), "bm25-kept")
+    pairs = kept.select("query_id", "doc_id").join(often.select("query_id", "term", "qtf"), "query_id")
+    more = pairs.join(index.postings, ["term", "doc_id"]).select("query_id", "doc_id", (F.col("qtf") * F.col("weight")).alias("score"))
+    summed = kept.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    return _best(whole.unionByName(summed), k)

@@ -1,8 +1,9 @@
 """Matching schema fields to glossary entries, as one plan.
 
-Candidates come from a sparse (BM25) and a dense (hashed n-gram) arm, each an
-equi-join with partial sums; they are fused, cut to a pool, scored by five
-signals, ranked and decided. Attributes are joined after the pool is cut.
+Candidates come from a sparse (BM25) and a dense (vector) arm over the
+indexes of :mod:`glossaria.plans.index`, which are built once and can be kept;
+they are fused, cut to a pool, scored by five signals, ranked and decided.
+Attributes are joined after the pool is cut. Hooks see each stage's rows.
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions import encoders, identifiers, scoring, types
+from glossaria.operators import dense as vector_search
 from glossaria.operators import domains, fusion, lexical
 from glossaria.plans.config import MatchConfig
-
-
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    ranked = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
-    return ranked.filter(F.col("_r") <= k).drop("_r")
+from glossaria.plans.hooks import Hooks
+from glossaria.plans.index import Encoder, GlossaryIndex, build
+from glossaria.scratch import materialise
 
 
 def field_texts(fields: DataFrame, cfg: MatchConfig) -> DataFrame:
@@ -25,23 +25,15 @@ def field_texts(fields: DataFrame, cfg: MatchConfig) -> DataFrame:
     return fields.select(F.col("field_key").alias("query_id"), identifiers.query_text(F.col("name"), F.col("full_path"), F.col("is_array"), F.col("description"), cfg.expand_abbreviations).alias("text"))
 
 
-def entry_texts(entries: DataFrame) -> DataFrame:
-    """doc_id, text."""
-    return entries.select(F.col("id").alias("doc_id"), identifiers.searchable_text(F.col("business_name"), F.col("logical_name"), F.col("definition"), F.array().cast("array<string>")).alias("text"))
-
+def sparse_hits(texts: DataFrame, index: GlossaryIndex, cfg: MatchConfig) -> DataFrame:
+    """query_id, doc_id, score of the sparse arm."""
+    return lexical.search(texts, index.postings, cfg.sparse_top_k).select("query_id", "doc_id", "score")
 
-def sparse_hits(fields: DataFrame, entries: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """query_id, doc_id, score of the sparse arm; what scores 0 or less goes after the cut."""
-    hits = lexical.scores(field_texts(fields, cfg), lexical.build_index(entry_texts(entries))).withColumn("score", F.round("score", 6))
-    return _top(hits, cfg.sparse_top_k).filter("score > 0")
 
-
-def dense_hits(fields: DataFrame, entries: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """query_id, doc_id, score of the dense arm (cosine of hashed n-grams)."""
-    q = encoders.hashed_ngram(field_texts(fields, cfg), "query_id").withColumnRenamed("weight", "wq")
-    e = encoders.hashed_ngram(entry_texts(entries), "doc_id").withColumnRenamed("weight", "we")
-    hits = q.join(e, "bucket").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("wq") * F.col("we")), 6).alias("score"))
-    return _top(hits, cfg.dense_top_k)
+def dense_hits(texts: DataFrame, index: GlossaryIndex, cfg: MatchConfig, encoder: Encoder = encoders.hashed_vectors) -> DataFrame:
+    """query_id, doc_id, score (cosine) of the dense arm; entries that have nothing in common are no hits."""
+    found = vector_search.top_k(encoder(texts, "query_id").select("query_id", "vector"), index.vectors, cfg.dense_top_k)
+    return found.filter("score > 0").select("query_id", F.col("entry_id").alias("doc_id"), "score")
 
 
 def _tokens_text(name: str):
@@ -55,7 +47,7 @@ def signals(pool: DataFrame, fields: DataFrame, entries: DataFrame, tree: DataFr
     )
     e = entries.select(F.col("id").alias("doc_id"), F.col("business_name").alias("_business"), F.col("logical_name").alias("_logical"), F.col("data_type").alias("_et"), F.nullif("domain", F.lit("")).alias("_ed"))
     rows = pool.join(f, "query_id").join(e, "doc_id")
-    related = domains.relations(rows.filter("_fd is not null and _ed is not null").select(F.col("_fd").alias("a"), F.col("_ed").alias("b")), tree)
+    related = materialise(domains.relations(rows.filter("_fd is not null and _ed is not null").select(F.col("_fd").alias("a"), F.col("_ed").alias("b")), tree), "match-domains")
     rows = rows.join(related.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("score").alias("_ds")), (F.col("_fd") == F.col("_a")) & (F.col("_ed") == F.col("_b")), "left")
     ft = identifiers.identifier_tokens(F.col("_name"))
     et = F.array_union(identifiers.identifier_tokens(F.col("_logical")), identifiers.identifier_tokens(F.col("_business")))
@@ -71,24 +63,42 @@ def signals(pool: DataFrame, fields: DataFrame, entries: DataFrame, tree: DataFr
     ).drop("_name", "_ft", "_fd", "_business", "_logical", "_et", "_ed", "_a", "_b", "_ds")
 
 
-def match(fields: DataFrame, entries: DataFrame, tree: DataFrame, cfg: MatchConfig | None = None, dense: DataFrame | None = None, sparse: DataFrame | None = None) -> DataFrame:
+def match(
+    fields: DataFrame,
+    entries: DataFrame,
+    tree: DataFrame,
+    cfg: MatchConfig | None = None,
+    dense: DataFrame | None = None,
+    sparse: DataFrame | None = None,
+    index: GlossaryIndex | None = None,
+    encoder: Encoder = encoders.hashed_vectors,
+    hooks: Hooks | None = None,
+) -> DataFrame:
     """field_key, entry_id, rank, confidence, margin, decision, absolute_cosine, s1..s5 of the best entries.
 
     ``fields``: field_key, name, full_path, parent_path, data_type, description,
     is_array, declared_domain; ``entries``: id, business_name, logical_name,
     definition, data_type, domain; ``tree``: name, parent. The margin is the
-    lead over the next in the pool, null if there is none.
+    lead over the next in the pool, null if there is none. Without ``index``
+    one is built; ``encoder`` must be the one that its vectors come from.
     """
-    cfg = cfg or MatchConfig()
-    dense = dense_hits(fields, entries, cfg) if dense is None else dense
-    sparse = sparse_hits(fields, entries, cfg) if sparse is None else sparse
-    pool = fusion.fuse(dense, sparse, "linear", cfg.fusion_alpha, top=max(cfg.pool_size, cfg.results_per_field))
+    cfg, hooks = cfg or MatchConfig(), hooks or Hooks()
+    fields = hooks.run("fields", fields)
+    if dense is None or sparse is None:
+        index = index or build(entries, encoder, hooks)
+        texts = materialise(hooks.run("enrich", field_texts(fields, cfg)), "match-texts")
+    dense = hooks.run("dense", dense_hits(texts, index, cfg, encoder) if dense is None else dense)
+    sparse = hooks.run("sparse", sparse_hits(texts, index, cfg) if sparse is None else sparse)
+    dense = materialise(dense, "match-dense")
+    pool = hooks.run("fuse", fusion.fuse(dense, sparse, "linear", cfg.fusion_alpha, top=max(cfg.pool_size, cfg.results_per_field)))
     pool = pool.withColumnRenamed("rank", "fused_rank").join(dense.select("query_id", "doc_id", F.col("score").alias("absolute_cosine")), ["query_id", "doc_id"], "left")
+    pool = materialise(hooks.run("pool", pool), "match-pool")
     scored = signals(pool, fields, entries, tree).withColumn("confidence", F.round(scoring.weighted_confidence([F.col(f"s{i}") for i in range(1, 6)], cfg), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "fused_rank")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("margin", F.round(F.col("confidence") - F.lead("confidence").over(order), 6))
+    ranked = hooks.run("score", scored).withColumn("rank", F.row_number().over(order)).withColumn("margin", F.round(F.col("confidence") - F.lead("confidence").over(order), 6))
     out = ranked.withColumn("decision", scoring.decision(F.col("rank"), F.col("confidence"), F.col("margin"), cfg)).filter(F.col("rank") <= cfg.results_per_field)
-    return out.select(F.col("query_id").alias("field_key"), F.col("doc_id").alias("entry_id"), "rank", "confidence", "margin", "decision", "absolute_cosine", "s1", "s2", "s3", "s4", "s5")
+    out = out.select(F.col("query_id").alias("field_key"), F.col("doc_id").alias("entry_id"), "rank", "confidence", "margin", "decision", "absolute_cosine", "s1", "s2", "s3", "s4", "s5")
+    return hooks.run("decide", out)
 
 
 def match_with_bypass(fields: DataFrame, entries: DataFrame, tree: DataFrame, verdicts: DataFrame, cfg: MatchConfig | None = None) -> DataFrame:

@@ -71,10 +71,10 @@ def mirror_pairs(spark, sf):
     return benchmarks.mirror_pairs(rows)
 
 
-@query("rerank_pairs", "SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (rank <= 3) DESC, CASE WHEN rank <= 3 THEN s END DESC, rank) AS INTEGER) AS rank FROM (SELECT l_orderkey AS query_id, l_partkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rank, round(l_discount, 6) AS s FROM lineitem WHERE l_orderkey < 200)")
+@query("rerank_pairs", "SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (rank <= 3) DESC, CASE WHEN rank <= 3 THEN s END DESC, rank) AS INTEGER) AS rank FROM (SELECT l_orderkey AS query_id, l_partkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice) AS rank, round(l_discount, 6) AS s FROM lineitem)")
 def rerank_pairs(spark, sf):
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf, "lineitem").filter("l_orderkey < 200").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.row_number().over(order).alias("rank"), "l_discount")
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.row_number().over(order).alias("rank"), "l_discount")
     return rerank.rerank(rows, F.col("l_discount"), 3).select("query_id", "doc_id", "rank")

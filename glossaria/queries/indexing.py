@@ -8,6 +8,7 @@ from glossaria.functions import vectors
 from glossaria.operators import dense, fusion, lexical
 from glossaria.queries import sql
 from glossaria.queries.registry import query, table
+from glossaria.scratch import scratch_path
 
 
 def _docs(spark, sf):
@@ -69,7 +70,7 @@ def bm25_add_remove(spark, sf):
 
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_id"), F.col("embedding").alias("vector"), "label")
-    return e.filter("entry_id < 50").select(F.col("entry_id").alias("query_id"), "vector"), e
+    return e.filter("entry_id % 20 = 0").select(F.col("entry_id").alias("query_id"), "vector"), e
 
 
 _VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
@@ -92,7 +93,7 @@ def distance_metrics(spark, sf):
 
 
 def _dense_sql(k: int, where: str = "TRUE") -> str:
-    return f"WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, {_COS} AS score FROM v a, v b WHERE a.vec_id < 50 AND {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM s) SELECT query_id, entry_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"
+    return f"WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS entry_id, {_COS} AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS rank FROM s) SELECT query_id, entry_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"
 
 
 @query("dense_topk", _dense_sql(20))
@@ -110,6 +111,38 @@ def dense_topk_cells(spark, sf):
     return dense.top_k_cells(*_vectors(spark, sf), 10)
 
 
+@query(
+    "dense_recall",
+    "SELECT least(10, (SELECT count(*) FROM embeddings)) * (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS n_exact, TRUE AS enough",
+)
+def dense_recall(spark, sf):
+    """Whether the approximate search finds nine of ten exact neighbours."""
+    q, e = _vectors(spark, sf)
+    found = dense.recall(dense.top_k_cells(q, e, 10), dense.top_k(q, e, 10))
+    return found.select("n_exact", (F.col("n_found") >= 0.9 * F.col("n_exact")).alias("enough"))
+
+
+@query("collection_info", "SELECT 'some' AS collection, count(*) AS entries, max(len(embedding)) AS dimensions FROM embeddings WHERE label <> 4")
+def collection_info(spark, sf):
+    held = _collection(spark, sf)
+    held.replace("some", dense.delete(held.read("some"), held.read("some").filter("label = 4").select("entry_id")))
+    return held.info("some")
+
+
+@query("collection_get", "SELECT vec_id AS entry_id, label FROM embeddings WHERE vec_id % 20 = 0")
+def collection_get(spark, sf):
+    held = _collection(spark, sf)
+    return held.get("some", held.read("some").filter("entry_id % 20 = 0").select("entry_id").unionByName(spark.range(-3, 0).select(F.col("id").alias("entry_id"))))
+
+
+def _collection(spark, sf):
+    held = dense.Collections(spark, scratch_path(spark, "collections"))
+    held.create("gone", _vectors(spark, sf)[1].limit(1))
+    held.delete("gone")
+    held.create("some", _vectors(spark, sf)[1])
+    return held
+
+
 _NEW = "SELECT vec_id + 400 AS vec_id, label + 100 AS label FROM embeddings WHERE vec_id < 300"
 
 
@@ -133,8 +166,8 @@ def scroll_page(spark, sf):
 
 # Two candidate lists over the same keys: neighbours by vector, and neighbours of the same label by id.
 _LISTS = (
-    f"WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS} AS score FROM v a, v b WHERE a.vec_id < 50), d AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 30), "
-    "p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(10.0 / (1 + abs(a.vec_id - b.vec_id)), 6) AS score FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id < 50 AND b.vec_id < 200)"
+    f"WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_COS} AS score FROM v a, v b WHERE a.vec_id % 20 = 0), d AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 30), "
+    "p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(10.0 / (1 + abs(a.vec_id - b.vec_id)), 6) AS score FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 20 = 0)"
 )
 _RANKED = (
     ", dr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS dense_rank, (score - min(score) OVER q) / CASE WHEN max(score) OVER q > min(score) OVER q THEN max(score) OVER q - min(score) OVER q ELSE 1 END AS dn FROM d WINDOW q AS (PARTITION BY query_id)), "
@@ -147,8 +180,8 @@ def _lists(spark, sf):
     q, e = _vectors(spark, sf)
     d = dense.top_k(q, e, 30).select("query_id", F.col("entry_id").alias("doc_id"), "score")
     labels = e.select("entry_id", "label")
-    a = labels.filter("entry_id < 50").select(F.col("entry_id").alias("query_id"), "label")
-    p = a.join(labels.filter("entry_id < 200"), "label").select("query_id", F.col("entry_id").alias("doc_id"), F.round(10.0 / (1 + F.abs(F.col("query_id") - F.col("entry_id"))), 6).alias("score"))
+    a = labels.filter("entry_id % 20 = 0").select(F.col("entry_id").alias("query_id"), "label")
+    p = a.join(labels, "label").select("query_id", F.col("entry_id").alias("doc_id"), F.round(10.0 / (1 + F.abs(F.col("query_id") - F.col("entry_id"))), 6).alias("score"))
     return d, p
 
 

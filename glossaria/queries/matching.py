@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from glossaria.functions import scoring
 from glossaria.operators import graph, lexical, review
+from glossaria.plans import index
 from glossaria.plans import match as plan
 from glossaria.plans.config import MatchConfig
 from glossaria.queries import sql
 from glossaria.queries.fixtures import frame, with_tables
 from glossaria.queries.governing import INFERRED
 from glossaria.queries.registry import query, table
+from glossaria.scratch import materialise
 
 CFG = MatchConfig()
 
@@ -56,6 +58,12 @@ _SIGNALS = (
 E2E = _BASE + _FUSE + _UP + _SIGNALS
 
 
+def _arms(fields, entries):
+    """The hits of the dense and the sparse arm."""
+    found, texts = index.build(entries), plan.field_texts(fields, CFG)
+    return materialise(plan.dense_hits(texts, found, CFG), "dense-arm"), materialise(plan.sparse_hits(texts, found, CFG), "sparse-arm")
+
+
 def _matches(spark):
     return plan.match(*_inputs(spark), CFG)
 
@@ -164,7 +172,7 @@ def diag_channels(spark, sf):
     from glossaria.operators import fusion
 
     f, e, _ = _inputs(spark)
-    d, s = plan.dense_hits(f, e, CFG), plan.sparse_hits(f, e, CFG)
+    d, s = _arms(f, e)
     one = lambda rows, name, rank: rows.filter(F.col(rank) <= 3).select(F.lit(name).alias("channel"), "query_id", "doc_id", F.col(rank).alias("rank"))
     fused = fusion.fuse(d, s, "linear", CFG.fusion_alpha, top=CFG.pool_size)
     return one(fusion.ranked(d, "dense"), "dense", "dense_rank").union(one(fusion.ranked(s, "sparse"), "sparse", "sparse_rank")).union(one(fused, "fused", "rank"))
@@ -175,8 +183,9 @@ def diag_rank_by_channel(spark, sf):
     from glossaria.operators import fusion
 
     f, e, _ = _inputs(spark)
-    d = fusion.ranked(plan.dense_hits(f, e, CFG), "dense").filter("doc_id = 'T-002'").select(F.col("query_id").alias("field_key"), "dense_rank")
-    s = fusion.ranked(plan.sparse_hits(f, e, CFG), "sparse").filter("doc_id = 'T-002'").select(F.col("query_id").alias("field_key"), "sparse_rank")
+    dense, sparse = _arms(f, e)
+    d = fusion.ranked(dense, "dense").filter("doc_id = 'T-002'").select(F.col("query_id").alias("field_key"), "dense_rank")
+    s = fusion.ranked(sparse, "sparse").filter("doc_id = 'T-002'").select(F.col("query_id").alias("field_key"), "sparse_rank")
     return f.select("field_key").join(d, "field_key", "left").join(s, "field_key", "left")
 
 
@@ -270,7 +279,7 @@ def eval_systems(spark, sf):
     f, e, _ = _inputs(spark)
     gold = f.select(F.col("field_key").alias("query_id"), F.format_string("T-%03d", F.col("ordinal") % 30).alias("gold_id"))
     out = None
-    for name, hits in (("bm25", plan.sparse_hits(f, e, CFG)), ("dense", plan.dense_hits(f, e, CFG))):
+    for name, hits in zip(("dense", "bm25"), _arms(f, e)):
         ranked = fusion.ranked(hits, "x").select("query_id", "doc_id", F.col("x_rank").alias("rank"))
         one = evaluation.retrieval_metrics(evaluation.gold_ranks(ranked, gold), (5,)).select(F.lit(name).alias("system"), "n", "recall_at_5", "mrr_at_10")
         out = one if out is None else out.union(one)
@@ -280,5 +289,5 @@ def eval_systems(spark, sf):
 @query("bm25_glossary", f"{_BASE} SELECT query_id, doc_id, score FROM sparse")
 def bm25_glossary(spark, sf):
     f, e, _ = _inputs(spark)
-    hits = lexical.scores(plan.field_texts(f, CFG), lexical.build_index(plan.entry_texts(e)))
+    hits = lexical.scores(plan.field_texts(f, CFG), lexical.build_index(index.entry_texts(e)))
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score")).filter("score > 0")
