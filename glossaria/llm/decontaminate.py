@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.llm.storage import materialise
+from glossaria.llm.storage import free_name, materialise
 
 K = 5
 PERCENT = 80
@@ -85,8 +85,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, percent: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that contain an item; all columns kept."""
-    found = materialise(contaminated(docs, benchmark, k, percent).select(F.col("doc_id").alias("_found")).distinct(), "benchmark-found")
-    return docs.join(found, F.col("doc_id") == F.col("_found"), "left_anti")
+    key = free_name(docs, "found")
+    found = materialise(contaminated(docs, benchmark, k, percent).select(F.col("doc_id").alias(key)).distinct(), "benchmark-found")
+    return docs.join(found, F.col("doc_id") == F.col(key), "left_anti")
 
 
 ORACLE = f"""

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.llm import textkit as tk
-from glossaria.llm.storage import free_name, materialise
+from glossaria.llm.storage import discard, free_name, materialise
 
 DEPTH = 2
 SIDE = 8
@@ -202,7 +202,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy(F.col("y").alias("_y")).agg(F.min("x").alias("m"))
         small = large.join(down, F.col("y") == F.col("_y")).select("m", "x", "y")
         edge = lambda c: F.struct(F.col("m").alias("x"), F.col(c).alias("y"))
-        now = materialise(small.select(F.explode(F.array(edge("x"), edge("y"))).alias("e")).select("e.x", "e.y").filter("x < y").distinct(), "star-edges")
+        before, now = now, materialise(small.select(F.explode(F.array(edge("x"), edge("y"))).alias("e")).select("e.x", "e.y").filter("x < y").distinct(), "star-edges")
+        discard(before)
         if (fresh := mark(now)) == seen:
             break
         seen = fresh

@@ -1,30 +1,17 @@
-"""Shared storage for tables and files that outlive a task.
+"""Storage of the operators: intermediate tables, free column names, file systems.
 
-Everything goes below ``spark.checkpoint.dir``, which driver and executors
-share; a temporary folder is used only where that setting is absent (local
-tests). Tables written here cut lineage, so a lost executor costs at most the
-tasks of the stage that was running.
+Intermediate tables are those of :mod:`glossaria.scratch`, below
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
-
+from glossaria.scratch import clear, discard, materialise, scratch_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or a local one if unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="glossaria-"))
-    return _LOCAL[0]
+__all__ = ["clear", "discard", "free_name", "materialise", "open_fs", "prepare", "scratch_path", "shared_dir"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -33,19 +20,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/glossaria/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that starts with ``stem`` and that no column of ``df`` starts with, whatever the case."""
     while any(c.lower().startswith(stem.lower()) for c in df.columns):
