@@ -35,8 +35,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = secret_scan.train_forest(spark, secret_scan.default_findings())
-    return secret_scan.scan(_table(spark, sf_dir, "documents"), trees)
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fitted(docs))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def test_empty_tables(spark):
     assert decontaminate.contaminated(docs, items).count() == 0
     assert decontaminate.decontaminate(some, items).count() == 1
     assert langid.identify(docs, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    trees = secret_scan.train_forest(spark, secret_scan.default_findings(400))
+    trees = secret_scan.fitted(docs)
     assert secret_scan.redact(docs, trees).count() == 0
 
 
