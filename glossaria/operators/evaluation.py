@@ -198,3 +198,33 @@ def confidence_profile(rows: DataFrame, value: str, bars: tuple[float, ...] = (0
     n = rows.count()
     at = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), at(n // 4).alias("p25"), at(n // 2).alias("median"), F.max(value).alias("max"), *[F.round(F.avg((F.col(value) >= b).cast("double")), 6).alias(f"share_{int(b * 100)}") for b in bars])
+
+
+def cache_statistics(requests: DataFrame, key: str, at: str, ttl_seconds: float | None = None) -> DataFrame:
+    """requests, hits, misses, evictions, hit_rate of a cache of unbounded size in which an entry lives ``ttl_seconds`` after its last request.
+
+    A request hits if its key was asked for within that time before; what
+    outlives the time is an eviction when it is asked for again.
+    """
+    before = F.lag(at).over(Window.partitionBy(key).orderBy(at))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    age = (micros(at) - micros("_before")) / 1e6
+    rows = requests.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at).withColumn("_before", before)
+    fresh = F.col("_before").isNotNull() & (F.lit(True) if ttl_seconds is None else age <= ttl_seconds)
+    n = F.count(F.lit(1))
+    return rows.agg(n.alias("requests"), F.count_if(fresh).alias("hits"), F.count_if(~fresh).alias("misses"), F.count_if(~fresh & F.col("_before").isNotNull()).alias("evictions"), F.round(F.when(n > 0, F.count_if(fresh) / n).otherwise(0.0), 6).alias("hit_rate"))
+
+
+def fusion_sweep(dense: DataFrame, sparse: DataFrame, gold: DataFrame, alphas: tuple[float, ...], k: int = 5) -> DataFrame:
+    """alpha, queries, at_1, at_k: how many gold pairs (query_id, gold_id) linear fusion puts first, and among the first k."""
+    from glossaria.operators import fusion
+
+    d, s, g = fusion.ranked(dense, "dense"), fusion.ranked(sparse, "sparse"), gold.select("query_id", "gold_id")
+    both = d.join(s, ["query_id", "doc_id"], "full_outer")
+    rows = both.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    rows = rows.withColumn("fused", F.round(F.col("alpha") * F.coalesce("dense_norm", F.lit(0.0)) + (1 - F.col("alpha")) * F.coalesce("sparse_norm", F.lit(0.0)), 6))
+    order = Window.partitionBy("alpha", "query_id").orderBy(F.desc("fused"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), "doc_id")
+    top = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("alpha", "query_id", "doc_id", "rank")
+    asked = g.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    hit = asked.join(top, (asked["alpha"] == top["alpha"]) & (asked["query_id"] == top["query_id"]) & (asked["gold_id"] == top["doc_id"]), "left").select(asked["alpha"].alias("alpha"), "rank")
+    return hit.groupBy("alpha").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("rank") == 1).alias("at_1"), F.count("rank").alias("at_k"))

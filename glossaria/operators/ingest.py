@@ -149,3 +149,11 @@ def fill_merged(df: DataFrame, column: str, group: str, ordinal: str, ends: Data
         filled = filled.join(ends.withColumnRenamed("last", "_last"), group, "left")
         return filled.withColumn(column, F.when(F.col(ordinal) <= F.col("_last"), F.col("_filled")).otherwise(F.col(column))).drop("_filled", "_last")
     return filled.withColumn(column, F.col("_filled")).drop("_filled")
+
+
+def validate_abbreviations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Abbreviation rows (short, expansion), trimmed, and the bad ones with ``reason``: empty, or its own expansion."""
+    rows = df.select(F.trim(F.coalesce("short", F.lit(""))).alias("short"), F.trim(F.coalesce("expansion", F.lit(""))).alias("expansion"))
+    reason = F.when((F.col("short") == "") | (F.col("expansion") == ""), F.lit("empty")).when(F.lower("short") == F.lower("expansion"), F.lit("expands to itself"))
+    marked = rows.withColumn("reason", reason)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")

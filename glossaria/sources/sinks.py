@@ -25,6 +25,20 @@ def write_csv(matches: DataFrame, path: str, top_k: int = 5, threshold: float =
     matches.filter((F.col("rank") <= top_k) & (F.col("confidence") >= threshold)).write.mode("overwrite").option("header", True).csv(path)
 
 
+def console_lines(matches: DataFrame, top_k: int = 1, threshold: float = 0.0) -> DataFrame:
+    """field_key, rank, line: a line of fixed columns for each match, as a terminal shows it."""
+    rows = matches.filter((F.col("rank") <= top_k) & (F.col("confidence") >= threshold))
+    cut = lambda c, n: F.rpad(F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("~"))).otherwise(F.col(c)), n, " ")
+    line = F.concat(cut("field_key", 32), F.lit("  "), cut("entry_id", 16), F.lit("  "), F.format_string("%3d  %.6f  ", "rank", "confidence"), F.col("decision"))
+    return rows.select("field_key", "rank", line.alias("line"))
+
+
+def print_matches(matches: DataFrame, top_k: int = 1, threshold: float = 0.0, most: int = 1000) -> None:
+    """Print the first ``most`` lines."""
+    for r in console_lines(matches, top_k, threshold).orderBy("field_key", "rank").limit(most).collect():
+        print(r["line"])
+
+
 def append_feedback(events: DataFrame, path: str) -> None:
     """Add reviewer events as JSON lines; files are never rewritten."""
     events.write.mode("append").json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ OPTIONS = {
     "rows": set(),
 }
 KINDS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet", ".xlsx": "excel", ".xlsm": "excel", ".xls": "excel"}
+#: Cells beyond the header that a row of a file with quoted line breaks keeps at least.
+EXTRA_CELLS = 16
 WRAPPERS = ("entries", "terms", "rows", "data", "items")
 
 
@@ -63,11 +66,18 @@ def _csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding:
         skip = header_row + 1
     if not names:
         return spark.createDataFrame([], "_extra_columns string")
-    width = len(names) + 16
-    raw = read().schema(", ".join(f"_c{i} string" for i in range(width))).csv(path)
-    raw = raw.withColumn("_n", F.monotonically_increasing_id())
-    # with multiLine a file is one partition, so its first rows are those of the partition
-    body = raw.filter(F.pmod(F.col("_n"), F.lit(1 << 33)) >= skip)
+    # no row has more cells than its lines have separators, and quotes that stay open on a line span several
+    found = spark.read.option("encoding", encoding).text(path).agg(F.max(F.size(F.split("value", re.escape(sep)))), F.max(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'))), F.lit(2)))).first()
+    width = max(len(names), found[0] or 0)
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    if skip == 1 and not found[1]:
+        body = read().option("multiLine", False).option("header", True).schema(schema).csv(path)
+    else:
+        width = max(width, len(names) + EXTRA_CELLS)
+        raw = read().schema(", ".join(f"_c{i} string" for i in range(width))).csv(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_n", F.monotonically_increasing_id())
+        # with multiLine a file is read in order by one task, so its first rows are its smallest numbers
+        first = raw.groupBy(F.col("_file").alias("_f")).agg(F.min("_n").alias("_least"))
+        body = raw.join(F.broadcast(first), F.col("_file") == F.col("_f")).filter(F.col("_n") >= F.col("_least") + skip)
     blank = [F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
     extra = F.concat_ws(sep, *[F.col(f"_c{i}") for i in range(len(names), width)])
     return body.select(*blank, extra.alias("_extra_columns"))
@@ -107,7 +117,11 @@ def _excel(spark: SparkSession, path: str, sheet: str | int = 0, header_row: int
         raise ImportError("reading Excel files needs openpyxl") from missing
     import io
 
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    files = spark.read.format("binaryFile").load(path).select("path", "content").orderBy("path")
+    several = files.select("path").limit(2).collect()
+    if len(several) > 1:
+        raise ValueError(f"{path} holds several workbooks; read each by its own path")
+    raw = files.first()["content"]
     book = openpyxl.load_workbook(io.BytesIO(raw), data_only=True)
     ws = book.worksheets[sheet] if isinstance(sheet, int) else book[sheet]
     rows = [["" if v is None else str(v) for v in row] for row in ws.iter_rows(values_only=True)]
