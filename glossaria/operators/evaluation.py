@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossaria.scratch import materialise
+
 
 def gold_ranks(rankings: DataFrame, gold: DataFrame) -> DataFrame:
     """query_id, rank of the best gold id (null if none is ranked) for ``rankings`` (query_id, doc_id, rank) and ``gold`` (query_id, gold_id)."""
@@ -62,43 +64,63 @@ def recommended_thresholds(sweep: DataFrame, targets: list[float]) -> DataFrame:
     return hit.groupBy("target").agg(F.min_by("threshold", F.struct((-F.col("coverage")).alias("c"), "threshold")).alias("threshold"), F.max("coverage").alias("coverage"))
 
 
-def index_quantile(sorted_by: Column, by: list[str], share: Column | float) -> tuple[Column, Column]:
-    """(0-based index of a row, wanted index) for a quantile by index, not interpolated."""
-    w = Window.partitionBy(*by)
-    return F.row_number().over(w.orderBy(sorted_by)) - 1, F.floor(F.count(F.lit(1)).over(w) * share)
+def running_sums(rows: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """``rows`` with ``before_<value>``: the sum over all rows before in ``order``, which must not tie.
+
+    Rows are range-partitioned; a task sums its own range, and only one total
+    for each range meets in one task.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "running-sums")
+    totals = ranged.groupBy(F.col("_range").alias("_r")).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    over = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    base = totals.select("_r", *[(F.sum(f"_t_{v}").over(over) - F.col(f"_t_{v}")).alias(f"_b_{v}") for v in values])
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = ranged.join(base, F.col("_range") == F.col("_r"))
+    return joined.select(*rows.columns, *[(F.col(f"_b_{v}") + F.sum(v).over(own) - F.col(v)).alias(f"before_{v}") for v in values])
+
+
+def value_places(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by``, value, c, lo, hi, n: each distinct value's places [lo, hi) among the n sorted ones of its group."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
+    placed = running_sums(counts, [F.col(x) for x in (*by, value)], ["c"])
+    groups = placed.groupBy(*[F.col(x).alias(f"_g{i}") for i, x in enumerate(by)]).agg(F.min("before_c").alias("_start"), F.sum("c").alias("n"))
+    same = [F.col(x).eqNullSafe(F.col(f"_g{i}")) for i, x in enumerate(by)] or [F.lit(True)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    lo = F.col("before_c") - F.col("_start")
+    return placed.join(groups, on).select(*by, value, "c", lo.alias("lo"), (lo + F.col("c")).alias("hi"), "n")
 
 
 def histogram_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, sum, min, max, avg, p50, p90, p99 per group: quantiles by index; p99 is the maximum under 100 values."""
-    w = Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
-    n = F.col("_n")
-    return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.round(F.sum(value), 4).alias("sum"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.round(F.avg(value), 4).alias("avg"),
-        at(F.floor(n / 2)).alias("p50"),
-        at(F.floor(n * F.lit(0.9))).alias("p90"),
-        F.when(F.max(n) >= 100, at(F.floor(n * F.lit(0.99)))).otherwise(F.max(value)).alias("p99"),
+    placed = value_places(rows, by, value)
+    at = lambda i: F.max(F.when((F.col("lo") <= i) & (i < F.col("hi")), F.col(value)))
+    n = F.col("n")
+    # sums and averages over the rows themselves, so that they are those of a plain aggregate
+    plain = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.round(F.sum(value), 4).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 4).alias("avg"))
+    marks = placed.groupBy(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(by)]).agg(
+        at(F.floor(n / 2)).alias("p50"), at(F.floor(n * F.lit(0.9))).alias("p90"), F.when(F.max(n) >= 100, at(F.floor(n * F.lit(0.99)))).otherwise(F.max(value)).alias("p99")
     )
+    on = F.lit(True)
+    for i, x in enumerate(by):
+        on = on & F.col(x).eqNullSafe(F.col(f"_k{i}"))
+    return plain.join(marks, on).select(*by, "count", "sum", "min", "max", "avg", "p50", "p90", "p99")
 
 
 def auc(rows: DataFrame) -> DataFrame:
     """auc, n_pos, n_neg for ``rows`` (score, positive): by rank sums over distinct scores, ties half."""
     by = rows.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    below = by.withColumn("b", F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)))
-    return below.agg(F.round(F.sum(F.col("p") * (F.coalesce("b", F.lit(0)) + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
+    below = running_sums(by, [F.col("score")], ["q"])
+    return below.agg(F.round(F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
 
 
 def youden_floor(rows: DataFrame, most: int = 2000) -> DataFrame:
     """floor, j: the score at which true less false positive rate is largest, smaller floors first."""
     by = rows.groupBy("score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     total = by.agg(F.sum("p"), F.sum("q")).first()
-    run = by.select("score", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"))
+    run = running_sums(by, [F.desc("score")], ["p", "q"]).select("score", (F.col("before_p") + F.col("p")).alias("tp"), (F.col("before_q") + F.col("q")).alias("fp"))
     j = F.round(F.col("tp") / max(1, total[0] or 0) - F.col("fp") / max(1, total[1] or 0), 6)
     return run.select(F.col("score").alias("floor"), j.alias("j")).orderBy(F.desc("j"), "floor").limit(1)
 
@@ -194,10 +216,11 @@ def top_values(df: DataFrame, column: str, ordinal: str, most: int = 25) -> Data
 
 def confidence_profile(rows: DataFrame, value: str, bars: tuple[float, ...] = (0.5, 0.87)) -> DataFrame:
     """n, min, p25, median, max (by index) and the share at or above each bar."""
-    ranked = rows.withColumn("_i", F.row_number().over(Window.orderBy(value)) - 1)
-    n = rows.count()
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), at(n // 4).alias("p25"), at(n // 2).alias("median"), F.max(value).alias("max"), *[F.round(F.avg((F.col(value) >= b).cast("double")), 6).alias(f"share_{int(b * 100)}") for b in bars])
+    placed = value_places(rows, [], value)
+    at = lambda i: F.max(F.when((F.col("lo") <= i) & (i < F.col("hi")), F.col(value)))
+    n, all_ = F.col("n"), F.sum("c")
+    shares = [F.round(F.coalesce(F.sum(F.when(F.col(value) >= b, F.col("c"))), F.lit(0)) / all_, 6).alias(f"share_{int(b * 100)}") for b in bars]
+    return placed.agg(F.coalesce(all_, F.lit(0)).alias("n"), F.min(value).alias("min"), at(F.floor(n / 4)).alias("p25"), at(F.floor(n / 2)).alias("median"), F.max(value).alias("max"), *shares)
 
 
 def cache_statistics(requests: DataFrame, key: str, at: str, ttl_seconds: float | None = None) -> DataFrame:
