@@ -157,8 +157,11 @@ def write_codes(docs: DataFrame, vocabulary: str, end_id: int, path: str) -> Dat
 
 def read_codes(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, from the files of a manifest."""
-    placed = manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)))
-    files = placed.select("path", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
+    # tokens before a part (a row for each range partition), and before a file within its part
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).select(F.col("part").alias("_part"), (F.sum("n").over(before) - F.col("n")).alias("_before"))
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    files = manifest.withColumn("_within", within).join(parts, F.col("part") == F.col("_part")).select("path", (F.col("_before") + F.col("_within")).cast("long").alias("base"))
     files = files.repartition(max(1, manifest.count() // FILES_A_TASK))
 
     def run(batches):
