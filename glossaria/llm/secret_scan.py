@@ -7,8 +7,8 @@ between ``:`` and ``@host``. They may overlap; ``redact`` masks what any of
 the judged secrets covers. A candidate's features are its length, character
 transitions and classes, entropy, the part of it that dictionary words cover,
 and how the words beside it and in its path went with secrets in the labelled
-findings (log odds). The dictionary is the ``DICTIONARY_WORDS`` words that
-most documents have, counted over all of them. The forest is trained
+findings (log odds). The dictionary is the words that most documents have, counted
+over all of them, ``DICTIONARY_WORDS`` at most. The forest is trained
 (``pyspark.ml``) on labelled findings; their number is bounded by
 ``MAX_FINDINGS``, and only the model, whose size these bounds fix, is sent to
 the tasks. The odds that a finding is trained with come from the other half of
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm import textkit as tk
+from glossaria.llm.storage import discard, materialise
 
 MAX_FINDINGS = 20_000
 TREES, DEPTH = 24, 7
@@ -143,9 +144,20 @@ def features(candidate: str, before: str, after: str, path: str | None, dictiona
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> list[str]:
-    """The ``most`` words (a-z) that most documents have, in that order."""
+    """The words (a-z) that most documents have, ``most`` at most: all that are in so many documents or more."""
     words = docs.filter("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w")).filter(F.length("w").between(SHORTEST, LONGEST))
-    return [r["w"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()]
+    counts = materialise(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "secret-words")
+    # the least number of documents that ``most`` words or fewer reach: a pass narrows it to a 32nd
+    low, high = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1
+    while low < high:
+        cuts = sorted({low + (high - low) * i // 32 for i in range(32)})
+        reached = counts.agg(*[F.count_if(F.col("n") >= c) for c in cuts]).first()
+        fits = [c for c, n in zip(cuts, reached) if n <= most]
+        high = fits[0] if fits else high
+        low = max([c + 1 for c in cuts if c < high and c not in fits], default=low)
+    rows = counts.filter(F.col("n") >= low).collect()  # at most ``most``
+    discard(counts)
+    return [w for _, w in sorted((-r["n"], r["w"]) for r in rows)]
 
 
 def candidates(text: str) -> list[tuple[int, int]]:

@@ -51,8 +51,10 @@ def test_query_equals_brute_force(spark):
     for r in rows:
         for w in {w for w in "".join(c if "a" <= c <= "z" else " " for c in (r["text"] or "").lower()).split() if 4 <= len(w) <= 12}:
             words[w] = words.get(w, 0) + 1
-    lexicon = sorted(words, key=lambda w: (-words[w], w))[: secret_scan.DICTIONARY_WORDS]
-    assert secret_scan.dictionary(docs) == lexicon
+    order = sorted(words, key=lambda w: (-words[w], w))
+    for most in (0, 7, 300, secret_scan.DICTIONARY_WORDS, 10**6):
+        least = min(n for n in range(1, max(words.values()) + 2) if sum(v >= n for v in words.values()) <= most)
+        assert secret_scan.dictionary(docs, most) == [w for w in order if words[w] >= least]
     model = secret_scan.fitted(docs)
     want = {}
     for r in rows:
