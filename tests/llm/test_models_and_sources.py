@@ -127,46 +127,9 @@ def test_warc_source_pushes_predicates_and_skips_payloads(spark, compression):
     assert sum(len(b) for p in reader.partitions() for b in reader.read(p)) == 20
 
 
-def test_perplexity_is_that_of_kneser_ney(spark):
-    texts = ["abab abc", "abcab"]
-    path = scratch_path(spark, "kn-test")
-    perplexity.kneser_ney(perplexity.count_keys(spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string"))).write.parquet(path)
-    got = perplexity.load_model(path)
-
-    # the same model from its definition, over classes
-    seqs = [[0, 0, 0] + [int(perplexity.char_classes()[ord(c)]) for c in t] for t in texts]
-    counts = [{} for _ in range(5)]
-    for s in seqs:
-        for i in range(3, len(s)):
-            g = tuple(s[i - 3 : i + 1])
-            counts[4][g] = counts[4].get(g, 0) + 1
-    for n in (3, 2, 1):
-        for g in counts[n + 1]:
-            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
-
-    def prob(g):
-        if not g:
-            return 1 / 64
-        c = counts[len(g)]
-        d = perplexity.discounts([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)])
-        cut = lambda v: d[min(v, 3) - 1]
-        same = {k: v for k, v in c.items() if k[:-1] == g[:-1]}
-        total = sum(same.values())
-        if not total:
-            return prob(g[1:])
-        own = c.get(g, 0)
-        return ((own - cut(own)) / total if own else 0) + sum(cut(v) for v in same.values()) / total * prob(g[1:])
-
-    r = random.Random(4)
-    seen = list(counts[4]) + [tuple(r.choice((0, 1, 3, 4, 5, 9)) for _ in range(4)) for _ in range(60)]
-    for g in seen:
-        key = sum(v << (6 * (3 - i)) for i, v in enumerate(g))
-        assert got[key] == pytest.approx(-np.log(prob(g)), rel=1e-4)
-
-
 def test_classifier_keeps_prose_and_rejects_noise(spark, corpus):
     r = random.Random(3)
-    noise = [(1000 + i, "".join(r.choice("xqzjk#*$%|") for _ in range(200)), "en", "s") for i in range(20)]
+    noise = [(1000 + i, " ".join("".join(r.choice("xqzjk#*$%|") for _ in range(4)) for _ in range(40)), "en", "s") for i in range(20)]
     docs = corpus.unionByName(spark.createDataFrame(noise, corpus.schema)).withColumn("kept", F.lit(1))
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)] + [(i, 1, None) for i in range(1, 100, 2)] + [(None, 1, 0), (1000, 0, 0)], "doc_id long, quality int, toxic int")
     got = {x["doc_id"]: x for x in perplexity.classify(docs, labels).collect()}

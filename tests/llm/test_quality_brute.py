@@ -1,4 +1,4 @@
-"""Cutoffs and verdicts of the quality rules, and perplexities, against plain re-computations."""
+"""Cutoffs and verdicts of the quality rules against a plain re-computation."""
 
 import math
 import random
@@ -8,9 +8,7 @@ import numpy as np
 import pytest
 from brute import text_counts
 
-from glossaria.llm import perplexity
 from glossaria.llm import quality_rules as qr
-from glossaria.llm import textkit as tk
 
 DOC = "doc_id long, text string, lang string"
 LABEL = "doc_id long, quality int, toxic int"
@@ -98,37 +96,3 @@ def test_verdicts_equal_brute_force(spark, seed):
     got = qr.quality_verdicts(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL), alpha=alpha, delta=delta).collect()
     assert Counter((x["doc_id"], x["kept"], x["failed_rules"]) for x in got) == Counter((d[0], k, f) for d, (k, f) in zip(docs, want))
     assert any(certified.values()) and any(f for _, f in want)
-
-
-def test_perplexity_and_cutoffs_equal_brute_force(spark, tmp_path):
-    r = random.Random(4)
-    texts = ["".join(r.choice("abcde é1,.\n") for _ in range(r.choice((1, 3, 30, 200)))) for _ in range(120)]
-    docs = [(i, t, r.choice(("en", "de"))) for i, t in enumerate(texts)] + [(200, None, "en"), (201, "", None), (202, "abc", "xx"), (202, "abc", "xx"), (3, "tie", "en")]
-    labels = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(120)] + [(5, 1, 0), (None, 1, 0)]
-    trusted = {i for i, q, t in labels if q == 1 and t == 0 and i is not None}
-    # the model's own table is tested elsewhere; here its look-ups, sums, smoothing and quantiles
-    path = f"{tmp_path}/model"
-    perplexity.kneser_ney(perplexity.count_keys(spark.createDataFrame([(t,) for i, t, _ in docs if i in trusted], "text string"))).write.parquet(path)
-    table, classes = perplexity.load_model(path), perplexity.char_classes()
-    nats = []
-    for _, t, _ in docs:
-        seq = [0, 0, 0] + [int(classes[ord(c)]) for c in t or ""]
-        nats.append(sum(float(table[seq[i - 3] << 18 | seq[i - 2] << 12 | seq[i - 1] << 6 | seq[i]]) for i in range(3, len(seq))))
-    known = [k for k, (i, t, _) in enumerate(docs) if i in trusted and t]
-    mean = sum(nats[k] for k in known) / sum(len(docs[k][1]) for k in known)
-    score = [math.exp((x + perplexity.STEADY * mean) / (len(t) + perplexity.STEADY)) if t else None for x, (_, t, _) in zip(nats, docs)]
-
-    def cut(some):
-        some = sorted(some)
-        return some[max(0, math.ceil(0.9 * len(some)) - 1)] if some else None
-
-    by = {x: cut([score[k] for k in known if (docs[k][2] or "") == x]) for x in ("en", "de", "xx", "")}
-    overall = cut([score[k] for k in known])
-    got = perplexity.classify(spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, LABEL), 0.9).collect()
-    assert len(got) == len(docs)
-    want = sorted(((i, x or "", len(t or ""), s, by[x or ""] or overall) for (i, t, x), s in zip(docs, score)), key=lambda w: (w[0], w[2]))
-    for x, (i, lang, n, s, c) in zip(sorted(got, key=lambda x: (x["doc_id"], x["n_chars"])), want):
-        assert (x["doc_id"], x["lang"], x["n_chars"]) == (i, lang, n)
-        assert x["cutoff"] == pytest.approx(c, abs=1e-4) and (x["perplexity"] is None if s is None else x["perplexity"] == pytest.approx(s, abs=1e-4))
-        assert x["kept"] == (s is not None and x["perplexity"] <= x["cutoff"])
-    assert tk.SLICE_BYTES > 0
