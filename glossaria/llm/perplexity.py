@@ -11,15 +11,17 @@ reads its blocks of all slices; it counts those of the trusted documents
 numbers of distinct contexts of each word are summed over the shards and give
 the lower order; then each shard joins its counts with the entries of all
 documents, by key, and adds up their surprise for each document. A frequent
-context can span shards; its totals are put together from theirs. Cutoffs are
-quantiles of the trusted documents' perplexities for each language.
+context can span shards; its totals are put together from theirs. A quarter of
+the trusted documents, by a hash of their ids, isn't trained on: cutoffs are
+quantiles of its perplexities for each language, so that a document isn't
+rejected for not having been trained on.
 
 A word's bucket is shared by another one with a probability of the words over
 2**BITS. Workers hold one shard's counts and the lower order, 2**BITS numbers.
 
 Defined results: null or blank text has no perplexity and isn't kept; a null
-language is language ``""``; a language without trusted documents uses the
-cutoff of all; rows with repeated ids are judged alike; with no trusted text
+language is language ``""``; a language without such documents uses the
+cutoff of all; rows with repeated ids are judged alike; with none at all
 nothing is rejected; an empty table gives an empty result; further columns
 are ignored.
 """
@@ -47,6 +49,8 @@ EDGE = 0
 #: Entries of a block, of a slice and of a shard, about. A shard reads whole blocks, so slices have more blocks than there are shards.
 BLOCK, SLICE, SHARD = 4096, 4_000_000, 16_000_000
 QUANTILE = 0.998
+#: One of so many trusted documents sets the cutoffs.
+HELD_OUT = 4
 #: Cutoffs of so many languages at most are broadcast.
 BROADCAST_LANGUAGES = 10_000
 #: Pseudo words of mean surprise that steady short texts.
@@ -369,9 +373,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     Trusted are the documents labelled with quality 1 and not toxic.
     """
     trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_t")).distinct()
-    trusted = materialise(trusted, "perplexity-trusted")
-    rows = materialise(surprise(docs, trusted), "perplexity-rows")
-    known = rows.join(trusted, F.col("doc_id") == F.col("_t"), "left_semi").filter("n_words > 0")
+    trusted = materialise(trusted.withColumn("_held", F.pmod(F.xxhash64("_t", F.lit(29)), F.lit(HELD_OUT)) == 0), "perplexity-trusted")
+    rows = materialise(surprise(docs, trusted.filter("not _held")), "perplexity-rows")
+    known = rows.join(trusted.filter("_held"), F.col("doc_id") == F.col("_t"), "left_semi").filter("n_words > 0")
     mean = known.agg(F.coalesce(F.sum("nats") / F.sum("n_words"), F.lit(0.0))).first()[0]
     steadied = F.exp((F.col("nats") + STEADY * F.lit(mean)) / (F.col("n_words") + STEADY))
     scored = lambda df: df.withColumn("perplexity", F.when(F.col("n_words") > 0, F.round(steadied, 6)))

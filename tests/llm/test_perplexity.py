@@ -71,10 +71,11 @@ def test_classify_equals_brute_force(spark, monkeypatch, shard, block, piece):
         monkeypatch.setattr(px, name, value)
     docs, labels = made(random.Random(shard), 150)
     trusted = {i for i, q, t in labels if q == 1 and t == 0 and i is not None}
-    prob, contexts, types = model([t for i, t, _ in docs if i in trusted])
+    held = {r["i"] for r in spark.createDataFrame([(i,) for i in trusted], "i long").filter("pmod(xxhash64(i, 29), 4) = 0").collect()}
+    prob, contexts, types = model([t for i, t, _ in docs if i in trusted - held])
     nats = [-sum(math.log(prob(v, w)) for v, w in pairs(t)) for _, t, _ in docs]
     size = [len(pairs(t)) for _, t, _ in docs]
-    known = [k for k, (i, _, _) in enumerate(docs) if i in trusted and size[k]]
+    known = [k for k, (i, _, _) in enumerate(docs) if i in held and size[k]]
     mean = sum(nats[k] for k in known) / sum(size[k] for k in known)
     score = [math.exp((x + px.STEADY * mean) / (n + px.STEADY)) if n else None for x, n in zip(nats, size)]
 
