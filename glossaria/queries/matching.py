@@ -14,7 +14,7 @@ from glossaria.queries import sql
 from glossaria.queries.fixtures import frame, with_tables
 from glossaria.queries.governing import INFERRED
 from glossaria.queries.registry import query, table
-from glossaria.scratch import materialise
+from glossaria.scratch import is_there, materialise
 
 CFG = MatchConfig()
 
@@ -71,7 +71,7 @@ _MATCHED: dict[str, DataFrame] = {}
 def _matches(spark):
     """The matches of the literal schemas, made once in an application for all queries that look at them."""
     app = spark.sparkContext.applicationId
-    if app not in _MATCHED:
+    if app not in _MATCHED or not is_there(_MATCHED[app]):
         _MATCHED[app] = materialise(plan.match(*_inputs(spark), CFG), "matches")
     return _MATCHED[app]
 

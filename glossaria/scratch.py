@@ -61,6 +61,11 @@ def discard(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
+def is_there(table: DataFrame) -> bool:
+    """Whether a table of :func:`materialise` is still kept."""
+    return getattr(table, "_scratch_path", None) in _WRITTEN
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this process wrote; results that read them must have been written or collected."""
     while _WRITTEN:

@@ -251,3 +251,61 @@ def test_token_vectors(spark):
     row = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0], [0.6, 0.8]], "a", "ab")], "q array<array<double>>, d array<array<double>>, x string, y string")
     got = row.select(token_maxsim(F.col("q"), F.col("d")).alias("m"), pair_scorer(lambda p: [len(a + b) for a, b in p])(F.col("x"), F.col("y")).alias("s")).first()
     assert (got["m"], got["s"]) == (pytest.approx(0.9), 3.0)
+
+
+def test_scratch_tables_go_when_told(spark, tmp_path):
+    import os
+
+    from glossaria import scratch
+
+    one, two = (scratch.materialise(spark.range(n), "t") for n in (1, 2))
+    assert scratch.is_there(one) and os.path.isdir(one._scratch_path)
+    scratch.discard(one)
+    assert not scratch.is_there(one) and not os.path.isdir(one._scratch_path) and two.count() == 2
+
+
+def test_collections_are_made_and_deleted(spark, tmp_path):
+    from glossaria.operators import dense
+
+    held = dense.Collections(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b")], "entry_id long, vector array<double>, note string")
+    held.create("c", rows)
+    with pytest.raises(ValueError):
+        held.create("c", rows)
+    assert held.names() == ["c"] and held.info("c").first().asDict() == {"collection": "c", "entries": 2, "dimensions": 2}
+    assert [r["note"] for r in held.get("c", spark.createDataFrame([(2,), (9,), (2,)], "entry_id long")).collect()] == ["b"]
+    held.replace("c", dense.delete(held.read("c"), spark.createDataFrame([(1,)], "entry_id long")))
+    assert held.read("c").count() == 1 and "vector" not in held.read("c", False).columns
+    assert held.delete("c") and not held.exists("c") and not held.delete("c")
+    with pytest.raises(KeyError):
+        held.read("c")
+
+
+def test_hooks_see_the_matching_plan(spark):
+    from glossaria.plans.hooks import Hooks
+    from glossaria.plans.match import match
+    from glossaria.queries.matching import _inputs
+
+    hooks, seen = Hooks(), []
+    for stage in ("fields", "index", "enrich", "dense", "sparse", "fuse", "pool", "score", "decide"):
+        hooks.register(stage, lambda df, stage=stage: seen.append(stage))
+    hooks.register("fields", lambda df: df.filter("field_key like '%1'"))
+    out = match(*_inputs(spark), hooks=hooks)
+    assert seen == ["fields", "index", "enrich", "dense", "sparse", "fuse", "pool", "score", "decide"]
+    assert {r["field_key"][-1] for r in out.select("field_key").collect()} == {"1"}
+
+
+def test_bm25_search_with_common_terms_is_exact(spark):
+    import random
+
+    from glossaria.operators import lexical
+
+    r = random.Random(3)
+    words = ["the", "of", "and"] + [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(r.choice(words[: r.choice((3, 40, 303))]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(20)) for i in range(400)] + [(999, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, text(6)) for i in range(20)] + [(50, "w1 w2 w3 w4 w5"), (51, "the"), (52, "")], "query_id long, text string")
+    index = lexical.build_index(docs)
+    rows = lambda df: sorted(tuple(x) for x in df.select("query_id", "doc_id", "score", "rank").collect())
+    whole = rows(lexical.search(asked, index, 5, common=10**9))
+    assert rows(lexical.search(asked, index, 5, common=30)) == whole and len(whole) > 60
