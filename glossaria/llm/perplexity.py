@@ -72,17 +72,34 @@ def bigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def pack(entry: np.ndarray, n: np.ndarray) -> bytes:
-    """A block: the first entry, and the bytes of the differences and counts, plane by plane, compressed."""
-    steps = np.diff(entry, prepend=entry[:1]).astype("<u8")
-    planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return int(entry[0]).to_bytes(8, "little") + len(entry).to_bytes(4, "little") + zstandard.compress(planes, 1)
+    """Ascending numbers and their counts: Rice-coded differences, the low bits plain, quotients and counts compressed."""
+    steps = np.diff(entry, prepend=entry[:1]).astype(np.uint64)
+    low = max(0, int(np.log2(max(1.0, float(steps.mean())))))
+    whole, odd = divmod(low, 8)
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    parts = [planes[:, i].tobytes() for i in range(whole)]
+    bits = (planes[:, whole, None] >> np.arange(odd, dtype=np.uint8)) & 1 if odd else np.zeros((0, 0), np.uint8)
+    parts.append(np.packbits(bits.astype(np.uint8).T.ravel()).tobytes())
+    rest = (steps >> np.uint64(low)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return int(entry[0]).to_bytes(8, "little") + len(entry).to_bytes(4, "little") + bytes([low]) + b"".join(parts) + zstandard.compress(rest, 3)
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    first, n = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:12], "little")
-    planes = np.frombuffer(zstandard.decompress(raw[12:]), np.uint8)
-    steps = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64) + np.uint64(first), np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").ravel()
+    first, n, low = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:12], "little"), raw[12]
+    whole, odd = divmod(low, 8)
+    at = 13 + whole * n
+    steps = np.zeros(n, np.uint64)
+    for i in range(whole):
+        steps |= np.frombuffer(raw, np.uint8, n, 13 + i * n).astype(np.uint64) << np.uint64(8 * i)
+    size = -(-odd * n // 8)
+    if odd:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at))[: odd * n].reshape(odd, n)
+        for i in range(odd):
+            steps |= bits[i].astype(np.uint64) << np.uint64(8 * whole + i)
+    rest = np.frombuffer(zstandard.decompress(raw[at + size :]), np.uint8)
+    planes = lambda x: np.ascontiguousarray(x.reshape(4, n).T).view("<u4").ravel()
+    steps |= planes(rest[: 4 * n]).astype(np.uint64) << np.uint64(low)
+    return np.cumsum(steps, dtype=np.uint64) + np.uint64(first), planes(rest[4 * n :])
 
 
 def _table(rows: list[tuple], kind: str) -> pa.RecordBatch:
@@ -110,10 +127,11 @@ def write_entries(docs: DataFrame, path: str) -> DataFrame:
                 entry = np.concatenate(entries)
                 order = np.argsort(entry, kind="stable")
                 entry, n = entry[order], np.concatenate(counts)[order]
+                entry = (entry >> np.uint64(DOC_BITS)) * np.uint64(docs_) + (entry & np.uint64((1 << DOC_BITS) - 1))
                 for i in range(0, len(entry), BLOCK):
                     raw = pack(entry[i : i + BLOCK], n[i : i + BLOCK])
                     f.write(raw)
-                    some = entry[i : i + BLOCK] >> np.uint64(DOC_BITS)
+                    some = entry[i : i + BLOCK] // np.uint64(docs_)
                     rows.append(("b", name, number, None, None, None, len(some), int(some[0]), int(some[-1]), at, len(raw)))
                     at += len(raw)
                 out = _table(rows, INDEX)
@@ -171,11 +189,11 @@ class _Blocks:
         return unpack(self.file.read_at(size, at))
 
 
-def _within(entry: np.ndarray, n: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, rows and counts of the entries with low <= key < high."""
-    key = entry >> np.uint64(DOC_BITS)
+def _within(entry: np.ndarray, n: np.ndarray, docs: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rows and counts of the entries (key * docs + row) with low <= key < high."""
+    key = entry // np.uint64(docs)
     a, b = np.searchsorted(key, np.array([low, high], np.uint64))
-    return key[a:b], (entry[a:b] & np.uint64((1 << DOC_BITS) - 1)).astype(np.int64), n[a:b].astype(np.int64)
+    return key[a:b], (entry[a:b] - key[a:b] * np.uint64(docs)).astype(np.int64), n[a:b].astype(np.int64)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,10 +226,10 @@ def count_shards(blocks: DataFrame, path: str) -> DataFrame:
         for table in _runs(batches):
             shard, low, high = (table.column(i)[0].as_py() for i in range(3))
             keys, counts, held = [], [], 0
-            for name, at, size, trusted in zip(*(table.column(c).to_pylist() for c in ("file", "at", "size", "trusted"))):
+            for name, at, size, docs, trusted in zip(*(table.column(c).to_pylist() for c in ("file", "at", "size", "docs", "trusted"))):
                 if trusted is None:
                     continue
-                key, row, n = _within(*reader.read(name, at, size), low, high)
+                key, row, n = _within(*reader.read(name, at, size), docs, low, high)
                 some = np.unpackbits(np.frombuffer(trusted, np.uint8), bitorder="little")[row].astype(bool)
                 keys.append(key[some])
                 counts.append(n[some])
@@ -222,7 +240,7 @@ def count_shards(blocks: DataFrame, path: str) -> DataFrame:
             key, n = _summed(keys, counts)
             name = f"counts-{shard}-{uuid.uuid4().hex}"
             with reader.fs.open_output_stream(f"{reader.base}/{name}", compression=None) as f:
-                f.write(key.astype("<u8").tobytes() + n.astype("<i8").tobytes())
+                f.write(pack(key, n) if len(key) else b"")
             rows = [("m", shard, len(key), None, None, name)] + [("n", shard, int((n == i).sum()), i, None, None) for i in range(1, 5)]
             v, stats = _contexts(key, n)
             for i in {0, len(v) - 1} if len(v) else ():
@@ -285,8 +303,8 @@ def score_shards(blocks: DataFrame, path: str, words: str, d2: list[float], d1:
             _, low, high = (table.column(i)[0].as_py() for i in range(3))
             with reader.fs.open_input_file(f"{reader.base}/{table.column('counts')[0].as_py()}") as f:
                 raw = f.read()
-            half = len(raw) // 2
-            known, c = np.frombuffer(raw[:half], "<u8"), np.frombuffer(raw[half:], "<i8")
+            known, c = unpack(raw) if raw else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            c = c.astype(np.int64)
             v, stats = _contexts(known, c)
             for e in table.column("edges")[0].as_py() or []:
                 stats[np.searchsorted(v, np.uint64(e["v"]))] = e["t"]
@@ -296,7 +314,7 @@ def score_shards(blocks: DataFrame, path: str, words: str, d2: list[float], d1:
             known, share = np.append(known, np.uint64(1 << 63)), np.append(share, 0.0)
             v, rest = np.append(v, np.uint64(1 << 63)), np.append(rest, 1.0)
             for name, number, at, size, docs in zip(*(table.column(x).to_pylist() for x in ("file", "slice", "at", "size", "docs"))):
-                key, row, n = _within(*reader.read(name, at, size), low, high)
+                key, row, n = _within(*reader.read(name, at, size), docs, low, high)
                 at_key, at_v = np.searchsorted(known, key), np.searchsorted(v, key >> np.uint64(BITS))
                 p = np.where(known[at_key] == key, share[at_key], 0.0) + np.where(v[at_v] == key >> np.uint64(BITS), rest[at_v], 1.0) * p1[(key & WORD).astype(np.int64)]
                 nats = np.bincount(row, -np.log(p) * n, docs)
