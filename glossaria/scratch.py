@@ -47,7 +47,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -58,7 +59,7 @@ def discard(*tables: DataFrame) -> None:
         path = getattr(table, "_scratch_path", None)
         if path in _WRITTEN:
             _WRITTEN.remove(path)
-            _delete(table.sparkSession, path)
+            remove(table.sparkSession, path)
 
 
 def is_there(table: DataFrame) -> bool:
@@ -69,4 +70,4 @@ def is_there(table: DataFrame) -> bool:
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this process wrote; results that read them must have been written or collected."""
     while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+        remove(spark, _WRITTEN.pop())
