@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.llm import textkit as tk
-from glossaria.llm.storage import materialise, open_fs, scratch_path
+from glossaria.llm.storage import discard, materialise, open_fs, remove, scratch_path
 
 BITS, DOC_BITS = 22, 16
 WORD = np.uint64((1 << BITS) - 1)
@@ -382,7 +382,10 @@ def surprise(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     parts = score_shards(scored, path, types._scratch_path, d2, d1)
     sums = parts.groupBy("file", "slice").applyInArrow(_document_sums, "file string, slice int, idx int, nats double").select(F.col("file").alias("_f"), F.col("slice").alias("_s"), F.col("idx").alias("_i"), "nats")
     on = (F.col("file") == F.col("_f")) & (F.col("slice") == F.col("_s")) & (F.col("idx") == F.col("_i"))
-    return rows.join(sums, on, "left").select("doc_id", "lang", "n_words", F.coalesce("nats", F.lit(0.0)).alias("nats"))
+    out = materialise(rows.join(sums, on, "left").select("doc_id", "lang", "n_words", F.coalesce("nats", F.lit(0.0)).alias("nats")), "perplexity-rows")
+    discard(index, blocks, found, types)
+    remove(docs.sparkSession, path)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -392,7 +395,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """
     trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_t")).distinct()
     trusted = materialise(trusted.withColumn("_held", F.pmod(F.xxhash64("_t", F.lit(29)), F.lit(HELD_OUT)) == 0), "perplexity-trusted")
-    rows = materialise(surprise(docs, trusted.filter("not _held")), "perplexity-rows")
+    rows = surprise(docs, trusted.filter("not _held"))
     known = rows.join(trusted.filter("_held"), F.col("doc_id") == F.col("_t"), "left_semi").filter("n_words > 0")
     mean = known.agg(F.coalesce(F.sum("nats") / F.sum("n_words"), F.lit(0.0))).first()[0]
     steadied = F.exp((F.col("nats") + STEADY * F.lit(mean)) / (F.col("n_words") + STEADY))

@@ -9,9 +9,9 @@ from __future__ import annotations
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from glossaria.scratch import clear, discard, materialise, scratch_path, shared_dir
+from glossaria.scratch import clear, discard, materialise, remove, scratch_path, shared_dir
 
-__all__ = ["clear", "discard", "free_name", "materialise", "open_fs", "prepare", "scratch_path", "shared_dir"]
+__all__ = ["clear", "discard", "free_name", "materialise", "open_fs", "prepare", "remove", "scratch_path", "shared_dir"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
