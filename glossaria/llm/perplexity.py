@@ -214,7 +214,7 @@ def _contexts(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[at], np.stack([np.add.reduceat(x.astype(np.int64), at) for x in parts], axis=1) if len(at) else np.zeros((0, 4), np.int64)
 
 
-def count_shards(blocks: DataFrame, path: str) -> DataFrame:
+def count_shards(blocks: DataFrame, shards: int, path: str) -> DataFrame:
     """Count the trusted entries of each shard and write them; ``FOUND`` rows.
 
     m: the shard's file; n: a bigrams were counted b times (b up to 4); w: word
@@ -251,11 +251,12 @@ def count_shards(blocks: DataFrame, path: str) -> DataFrame:
                 part = len(w[i : i + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array(["w"] * part), pa.array(np.full(part, shard, np.int32)), pa.array(w[i : i + 100_000].astype(np.int64)), pa.array(types[i : i + 100_000].astype(np.int64)), pa.nulls(part, pa.int64()), pa.nulls(part, pa.string())], names=[x.split()[0] for x in FOUND.split(", ")])
 
-    return materialise(_by_shard(blocks).mapInArrow(run, FOUND), "perplexity-counts")
+    return materialise(_by_shard(blocks, shards).mapInArrow(run, FOUND), "perplexity-counts")
 
 
-def _by_shard(blocks: DataFrame) -> DataFrame:
-    return blocks.repartition("shard").sortWithinPartitions("shard", "file", "at")
+def _by_shard(blocks: DataFrame, shards: int) -> DataFrame:
+    """A task for each shard, more or less; the rows are small, what they name isn't, so tasks aren't put together."""
+    return blocks.repartition(shards, "shard").sortWithinPartitions("shard", "file", "at")
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -289,7 +290,7 @@ def lower_order(path: str, d: list[float]) -> np.ndarray:
     return _lower[path]
 
 
-def score_shards(blocks: DataFrame, path: str, words: str, d2: list[float], d1: list[float]) -> DataFrame:
+def score_shards(blocks: DataFrame, shards: int, path: str, words: str, d2: list[float], d1: list[float]) -> DataFrame:
     """file, slice, nats: a shard's share of the surprise of each document of a slice, 8 bytes each.
 
     ``blocks`` has the shard's counts (``counts``) and the whole totals of its first and last context (``edges``).
@@ -313,14 +314,20 @@ def score_shards(blocks: DataFrame, path: str, words: str, d2: list[float], d1:
             rest = (stats[:, 1:] @ np.array(d2)) / total
             known, share = np.append(known, np.uint64(1 << 63)), np.append(share, 0.0)
             v, rest = np.append(v, np.uint64(1 << 63)), np.append(rest, 1.0)
-            for name, number, at, size, docs in zip(*(table.column(x).to_pylist() for x in ("file", "slice", "at", "size", "docs"))):
+            rows = list(zip(*(table.column(x).to_pylist() for x in ("file", "slice", "at", "size", "docs"))))
+            nats = None
+            for i, (name, number, at, size, docs) in enumerate(rows):
                 key, row, n = _within(*reader.read(name, at, size), docs, low, high)
                 at_key, at_v = np.searchsorted(known, key), np.searchsorted(v, key >> np.uint64(BITS))
                 p = np.where(known[at_key] == key, share[at_key], 0.0) + np.where(v[at_v] == key >> np.uint64(BITS), rest[at_v], 1.0) * p1[(key & WORD).astype(np.int64)]
-                nats = np.bincount(row, -np.log(p) * n, docs)
+                found = np.bincount(row, -np.log(p) * n, docs)
+                nats = found if nats is None else nats + found
+                if i + 1 < len(rows) and rows[i + 1][:2] == (name, number):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([number], pa.int32()), pa.array([nats.astype("<f4").tobytes()], pa.binary())], names=["file", "slice", "nats"])
+                nats = None
 
-    return _by_shard(blocks).mapInArrow(run, "file string, slice int, nats binary")
+    return _by_shard(blocks, shards).mapInArrow(run, "file string, slice int, nats binary")
 
 
 def _document_sums(table: pa.Table) -> pa.Table:
@@ -367,7 +374,7 @@ def surprise(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     blocks = blocks.join(slices, (F.col("file") == F.col("_f")) & (F.col("slice") == F.col("_s"))).drop("_f", "_s")
     blocks = materialise(blocks, "perplexity-blocks")
 
-    found = count_shards(blocks, path)
+    found = count_shards(blocks, shards, path)
     seen = {r["b"]: r["n"] for r in found.filter("kind = 'n'").groupBy("b").agg(F.sum("a").alias("n")).collect()}
     d2 = discounts([seen.get(i, 0) for i in range(1, 5)])
     types = materialise(found.filter("kind = 'w'").groupBy(F.col("a").alias("word")).agg(F.sum("b").alias("types")), "perplexity-words")
@@ -379,7 +386,7 @@ def surprise(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     edges = ends.join(whole, F.col("v") == F.col("_v")).groupBy(F.col("shard").alias("_e")).agg(F.collect_list(F.struct("v", "t")).alias("edges"))
     files = found.filter("kind = 'm'").select(F.col("shard").alias("_m"), F.col("file").alias("counts"))
     scored = blocks.join(files, F.col("shard") == F.col("_m")).join(edges, F.col("shard") == F.col("_e"), "left").select("shard", "low", "high", "file", "slice", "at", "size", "docs", "counts", "edges")
-    parts = score_shards(scored, path, types._scratch_path, d2, d1)
+    parts = score_shards(scored, shards, path, types._scratch_path, d2, d1)
     sums = parts.groupBy("file", "slice").applyInArrow(_document_sums, "file string, slice int, idx int, nats double").select(F.col("file").alias("_f"), F.col("slice").alias("_s"), F.col("idx").alias("_i"), "nats")
     on = (F.col("file") == F.col("_f")) & (F.col("slice") == F.col("_s")) & (F.col("idx") == F.col("_i"))
     out = materialise(rows.join(sums, on, "left").select("doc_id", "lang", "n_words", F.coalesce("nats", F.lit(0.0)).alias("nats")), "perplexity-rows")
